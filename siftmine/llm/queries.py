@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .language import op2_language_mixture
 from .packing import op5_mixture_packing
+from .quality import op8_quality_votes
+from .secrets import op7_secret_scan
 from .simple8b import op10_token_files
+from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_language_mixture": op2_language_mixture,
+    "op4_toxicity": op4_toxicity,
     "op5_mixture_packing": op5_mixture_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_quality_votes": op8_quality_votes,
     "op10_token_files": op10_token_files,
 }
 
