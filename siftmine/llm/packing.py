@@ -82,11 +82,11 @@ class Plan:
             done += length
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int, group: int = 800) -> Iterator[pa.RecordBatch]:
+def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int, group: int = 3000) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, encoder, seen = TaskContext.get().partitionId(), PieceEncoder(path), {}
-    small = max(end_id, len(encoder.opens)) < 1 << 16
+    small = max(end_id, encoder.size) < 1 << 16
     tail = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         docs, sources, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
