@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .embeddings import op3_embedding_range_join
+from .jaccard import op9_jaccard_join
 from .language import op2_language_mixture
 from .packing import op5_mixture_packing
 from .quality import op8_quality_votes
@@ -11,10 +13,12 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op2_language_mixture": op2_language_mixture,
+    "op3_embedding_range_join": op3_embedding_range_join,
     "op4_toxicity": op4_toxicity,
     "op5_mixture_packing": op5_mixture_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_votes": op8_quality_votes,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 
