@@ -16,6 +16,7 @@ need no tree at all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,12 @@ class WordHashes(dict):
         return np.unique(out)
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One for each Python worker: what a task has learned serves the next."""
+    return WordHashes()
+
+
 def identity(s: np.ndarray) -> tuple[int, int]:
     """A 128-bit name of a set, as two signed numbers."""
     d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -140,7 +147,7 @@ def bounded(n: int, a: np.ndarray, m: int, b: np.ndarray, t: int) -> bool:
 
 def _points(batches: Iterator[pa.RecordBatch], k: int, chunk: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """A row for each document: id, n, identity, count vector. Rows without a count vector tell of widely shared hashes: the hash and how many sets of some have it."""
-    words, seen, held, size = WordHashes(), set(), [], 0
+    words, seen, held, size = word_hashes(), set(), [], 0
     names = ["doc_id", "n", "h1", "h2", "v"]
 
     def shared() -> pa.RecordBatch:
@@ -169,7 +176,7 @@ def _points(batches: Iterator[pa.RecordBatch], k: int, chunk: int = 1_000_000) -
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int, t: int, common) -> Iterator[pa.RecordBatch]:
     """(key, h1): the hashes of each set that a linked set must share one of."""
-    words, seen = WordHashes(), set()
+    words, seen = word_hashes(), set()
     hot, rank = common.value
     for b in batches:
         keys, names, sizes = [], [], []
@@ -192,7 +199,7 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, t: int, common) -> Iterator
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+    words = word_hashes()
     for b in batches:
         sets = [words.shingles(t, k) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([identity(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "s"])

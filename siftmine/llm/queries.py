@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontamination
 from .embeddings import op3_embedding_range_join
 from .jaccard import op9_jaccard_join
 from .language import op2_language_mixture
+from .licenses import op6_license_scan
 from .packing import op5_mixture_packing
 from .quality import op8_quality_votes
 from .secrets import op7_secret_scan
@@ -12,10 +14,12 @@ from .simple8b import op10_token_files
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_language_mixture": op2_language_mixture,
     "op3_embedding_range_join": op3_embedding_range_join,
     "op4_toxicity": op4_toxicity,
     "op5_mixture_packing": op5_mixture_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_votes": op8_quality_votes,
     "op9_jaccard_join": op9_jaccard_join,
