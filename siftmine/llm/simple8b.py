@@ -19,12 +19,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, ship
-from .tokens import PieceEncoder, vocabulary
+from .tokens import encoder_of, vocabulary
 
 # Fixed values of the Simple-8b format: (values in a word, bits of each) by selector; 0 is the escape here.
 ESCAPE = 0
 LAYOUT = [(1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 
+COUNTS = np.array([c for c, _ in LAYOUT], dtype=np.int32)
 RUN = 1024
 MAGIC = b"S8B1"
 HEAD = struct.Struct("<4sIIIQQ")  # magic, documents, runs, escapes, ids, words
@@ -53,22 +54,25 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     need = _SMALL[ids] if int(ids.max()) < 1 << 16 else widths(ids)
     at = np.arange(n, dtype=np.int32)
     end = np.minimum((at // RUN + 1) * RUN, n).astype(np.int32)
-    choice = np.zeros(n, dtype=np.uint8)
-    step = np.ones(n, dtype=np.int32)
-    done = np.zeros(n, dtype=bool)
-    for sel in range(1, 16):
+    # runs as rows; what lies beyond a run's end fits everywhere, as the last word of a run is padded
+    room = np.zeros((runs, RUN + 120), dtype=np.uint8)
+    whole = n // RUN
+    room[:whole, :RUN] = need[: whole * RUN].reshape(whole, RUN)
+    room[whole:, : n - whole * RUN] = need[whole * RUN :]
+    choice = np.zeros((runs, RUN), dtype=np.uint8)
+    for sel in range(15, 0, -1):  # the selector that holds most is written last
         count, bits = LAYOUT[sel]
-        over = need > bits
-        if over.all():
+        fits = room <= bits
+        if bits < 6 and np.count_nonzero(fits[:, :RUN]) < count:
             continue
-        block = np.minimum(np.minimum.accumulate(np.where(over, at, n)[::-1])[::-1], end)
-        room = block - at
-        fits = (room >= count) | ((block == end) & (room > 0))
-        fits &= ~done
-        choice[fits] = sel
-        step[fits] = np.minimum(count, (end - at)[fits])
-        done |= fits
-    nxt = at + step
+        have = 1
+        while have < count:
+            more = min(have, count - have)
+            fits = fits[:, : fits.shape[1] - more] & fits[:, more:]
+            have += more
+        np.putmask(choice, fits[:, :RUN], sel)
+    choice = choice.reshape(-1)[:n]
+    nxt = np.minimum(at + COUNTS[choice], end)
     heads = np.arange(0, n, RUN, dtype=np.int32)
     stops = end[heads]
     marks = np.zeros(n, dtype=bool)
@@ -104,10 +108,11 @@ def decode_words(words: np.ndarray, n: int, offsets: np.ndarray, escapes: np.nda
     if not n:
         return out
     sels = (words >> np.uint64(60)).astype(np.uint8)
-    counts = np.array([c for c, _ in LAYOUT], dtype=np.int64)[sels]
+    counts = COUNTS[sels].astype(np.int64)
     # each run's words hold exactly its ids, but that the last is padded
     first = np.cumsum(counts) - counts
-    run = np.searchsorted(offsets, np.arange(len(words)), side="right") - 1
+    offsets = offsets.astype(np.int64)
+    run = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     first = first - first[offsets[run]] + run * RUN
     stop = np.minimum((run + 1) * RUN, n)
     for sel in range(16):
@@ -152,10 +157,10 @@ def read_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(named, null)], lengths, decode_words(words, n, offsets, escapes)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_ids: int, group: int = 800) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_ids: int, group: int = 3000) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, encoder = TaskContext.get().partitionId(), PieceEncoder(path)
+    part, encoder = TaskContext.get().partitionId(), encoder_of(path)
     names, lengths, held, size, before, block = [], [], [], 0, 0, 0
     tail = np.array([end_id], "<u4").tobytes()
 

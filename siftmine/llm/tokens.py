@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +131,9 @@ class PieceEncoder(dict):
         for i in loose:
             out[i] = kept[i]
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder for each Python worker: what a task has learned serves the next."""
+    return PieceEncoder(path)
