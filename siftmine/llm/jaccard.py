@@ -29,8 +29,9 @@ from .common import components, discard, scratch, ship
 
 # odd multipliers, one for each place in a shingle; any would do
 MULTIPLIERS = [np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % i) | 1) for i in range(64)]
-GROUPS = (64, 256, 1024)  # coordinates of a count vector, by the size of the set
-SIZES = (1000, 5000)
+COARSE = 64  # coordinates of the count vector that leaders are compared by
+TREE = 1024  # and at most of those in a tree
+FINEST = 1 << 16  # twice as many as a set has hashes, up to this, for the last bound
 LEAF = 16
 CHUNK = 2048  # points of a cell that are joined at once
 LEADERS = 3
@@ -80,9 +81,18 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.uint64(x).astype(np.int64)) for x in (d & 0xFFFFFFFFFFFFFFFF, d >> 64))
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    groups = GROUPS[sum(len(s) >= x for x in SIZES)]
-    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups), 65535).astype("<u2")
+def count_vector(s: np.ndarray, groups: int) -> bytes:
+    """The counts of a power of two of groups: the width of a count, then the counts."""
+    v = np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return b"\1" + v.astype("u1").tobytes() if v.max(initial=0) < 256 else b"\4" + v.astype("<u4").tobytes()
+
+
+def fine_groups(n: int) -> int:
+    return min(FINEST, max(COARSE, 1 << (2 * max(1, n) - 1).bit_length()))
+
+
+def vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
 
 
 def fold(v: np.ndarray, groups: int) -> np.ndarray:
@@ -124,17 +134,19 @@ class RTree:
 
 def cell_pairs(sizes: np.ndarray, vectors: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, t: int) -> list[tuple[int, int]]:
     """Pairs of a point of left and one of right, of different components, that the bounds can't exclude."""
-    flat = np.stack([fold(v, GROUPS[0]) for v in vectors]).astype(np.int64)
+    groups = min(TREE, *(len(v) for v in vectors))
+    flat = np.stack([fold(v, groups) for v in vectors])
     out = []
     tree = RTree(sizes[right], flat[right]) if len(right) > LEAF else None
     for i in left:
         if tree is not None:
             near = right[tree.within(int(sizes[i]), flat[i], t)]
         else:
-            ok = (100 * np.minimum(sizes[right], sizes[i]) >= t * np.maximum(sizes[right], sizes[i])) & (np.minimum(flat[right], flat[i]).sum(1) >= needed(sizes[i], sizes[right], t))
-            near = right[ok]
+            near = right[(100 * np.minimum(sizes[right], sizes[i]) >= t * np.maximum(sizes[right], sizes[i])) & (comp[right] != comp[i])]
+            if len(near):
+                near = near[np.minimum(flat[near], flat[i]).sum(1) >= needed(sizes[i], sizes[near], t)]
         for j in near[comp[near] != comp[i]]:
-            if bounded(int(sizes[i]), vectors[i], int(sizes[j]), vectors[j], t):
+            if len(vectors[i]) == groups or bounded(int(sizes[i]), vectors[i], int(sizes[j]), vectors[j], t):
                 out.append((int(i), int(j)))
     return out
 
@@ -148,19 +160,19 @@ def bounded(n: int, a: np.ndarray, m: int, b: np.ndarray, t: int) -> bool:
 def _points(batches: Iterator[pa.RecordBatch], k: int, chunk: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """A row for each document: id, n, identity, count vector. Rows without a count vector tell of widely shared hashes: the hash and how many sets of some have it."""
     words, seen, held, size = word_hashes(), set(), [], 0
-    names = ["doc_id", "n", "h1", "h2", "v"]
+    names = ["doc_id", "n", "h1", "h2", "v", "w"]
 
     def shared() -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
         h, c = h[c >= 3], c[c >= 3]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(c, pa.int64()), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(c, pa.int64()), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=names)
 
     for b in batches:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for text in b.column(1).to_pylist():
             s = words.shingles(text, k)
             name = identity(s)
-            for col, x in zip(rows, (len(s), *name, count_vector(s).tobytes())):
+            for col, x in zip(rows, (len(s), *name, count_vector(s, COARSE), count_vector(s, fine_groups(len(s))))):
                 col.append(x)
             if len(s) and name not in seen:
                 seen.add(name)
@@ -169,7 +181,7 @@ def _points(batches: Iterator[pa.RecordBatch], k: int, chunk: int = 1_000_000) -
                 if size >= chunk:
                     yield shared()
                     held, size = [], 0
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in rows[:3]], pa.array(rows[3], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in rows[:3]], *[pa.array(c, pa.binary()) for c in rows[3:]]], names=names)
     if held:
         yield shared()
 
@@ -220,7 +232,7 @@ def _compared(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBa
 def _allowed(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, na, va, nb, vb) that the bound doesn't exclude."""
     for b in batches:
-        ok = [bounded(n, np.frombuffer(v, "<u2").astype(np.int64), m, np.frombuffer(w, "<u2").astype(np.int64), t) for n, v, m, w in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+        ok = [bounded(n, vector(v), m, vector(w), t) for n, v, m, w in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
         yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], names=["a", "b"])
 
 
@@ -234,7 +246,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.Record
         if len(held) < 2 or len({x[2] for x in held}) < 2:
             return
         ids, sizes, comp = (np.array([x[i] for x in held], dtype=np.int64) for i in range(3))
-        vectors = [np.frombuffer(x[3], "<u2").astype(np.int64) for x in held]
+        vectors = [vector(x[3]) for x in held]
         side = np.array([x[4] for x in held])
         left = np.flatnonzero(side == 0)
         right = left if cell[1] == cell[2] else np.flatnonzero(side == 1)
@@ -275,12 +287,12 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
     ship(spark)
     t, k = threshold, words
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    facts = scratch(base.mapInArrow(lambda b: _points(b, k), "doc_id long, n long, h1 long, h2 long, v binary"))
+    facts = scratch(base.mapInArrow(lambda b: _points(b, k), "doc_id long, n long, h1 long, h2 long, v binary, w binary"))
     rows = facts.where("v is not null")
     hot = facts.where("v is null").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(hot_rows).collect()
     order = np.argsort(np.array([r["h1"] for r in hot], np.int64).view(np.uint64))
     common = spark.sparkContext.broadcast((np.array([r["h1"] for r in hot], np.int64).view(np.uint64)[order], np.array([r["n"] for r in hot], np.int64)[order]))
-    points = scratch(rows.where("n > 0").groupBy("h1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("v").alias("v")))
+    points = scratch(rows.where("n > 0").groupBy("h1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("w").alias("w")))
 
     keyed = base.select("text").mapInArrow(lambda b: _keys(b, k, t, common), "key long, h1 long")
     cell = W.partitionBy("key")
@@ -307,9 +319,10 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
         discard(sets, texts)
         return out
 
-    led = cells.where("h1 <> leader").select(F.col("leader").alias("a"), F.col("h1").alias("b")).distinct()
-    led = with_sizes(led).mapInArrow(lambda x: _allowed(x, t), "a long, b long")
-    first = scratch(led.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("a"))).where(F.col("r") <= LEADERS).drop("r"))
+    # the leaders that a point shares most cells with: a few for each point, whatever the size of its class
+    led = cells.where("h1 <> leader").groupBy(F.col("leader").alias("a"), F.col("h1").alias("b")).agg(F.count("*").alias("m"))
+    led = led.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("m"), "a"))).where(F.col("r") <= LEADERS).select("a", "b")
+    first = scratch(with_sizes(led).mapInArrow(lambda x: _allowed(x, t), "a long, b long"))
     links = verified(first)
     early = scratch(components(links))
 
@@ -319,7 +332,7 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
     chunked = spread.select("key", "h1", "comp", F.ceil(F.col("m") / CHUNK).cast("int").alias("of")).withColumn("chunk", F.pmod(F.xxhash64("h1"), "of").cast("int"))
     other = F.sequence(F.lit(0), F.col("of") - 1)
     dealt = chunked.withColumn("o", F.explode(other)).select("key", F.least("chunk", "o").alias("l"), F.greatest("chunk", "o").alias("r"), "h1", "comp", F.when(F.col("chunk") <= F.col("o"), 0).otherwise(1).alias("side"))
-    dealt = dealt.join(sized, "h1").select("key", "l", "r", "h1", "n", "comp", "v", "side")
+    dealt = dealt.join(points.select("h1", "n", "w"), "h1").select("key", "l", "r", "h1", "n", "comp", "w", "side")
     grouped = dealt.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
     found = grouped.mapInArrow(lambda b: _tree_pairs(b, t), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     second = scratch(found)
