@@ -7,10 +7,11 @@ the smaller coordinate in each group, and for a box of points at most the sum wi
 Count vectors alone can't part long sets at a threshold of 0.8, where the radius is wider than the spread of
 unrelated points, so points are first brought into cells that no linked pair can avoid: of each set the first
 n - ceil(t n) + 1 hashes, in an order that is the same everywhere and puts widely shared hashes last. Linked sets
-share one of those. Within a cell an R-tree over the count vectors yields the pairs that the bound can't exclude, and
-those are compared in full. Before that every point is compared with a few cell leaders (the smallest points of its
-cells), so that a large class of near copies is one component when the trees are built, and cells of one component
-need no tree at all.
+share one of those. Each run of neighbouring sizes in a cell has a leader, its smallest point, and all runs of one
+leader are a district: linked points share a district, and a point is in few, though it is in many cells. Every point
+is first compared with the leaders that it shares most cells with, so that a large class of near copies is one
+component early, and districts of one component are done. In each of the others an R-tree over the count vectors
+yields the pairs that the bound can't exclude, and those are compared in full.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ COARSE = 64  # coordinates of the count vector that leaders are compared by
 TREE = 1024  # and at most of those in a tree
 FINEST = 1 << 16  # twice as many as a set has hashes, up to this, for the last bound
 LEAF = 16
-CHUNK = 2048  # points of a cell that are joined at once
+CHUNK = 2048  # points of a district that are joined at once
 LEADERS = 3
 
 
@@ -109,7 +110,7 @@ class RTree:
     """Count vectors packed by size and then by their coordinates; boxes keep the upper corner and the span of sizes."""
 
     def __init__(self, sizes: np.ndarray, vectors: np.ndarray):
-        order = np.lexsort((vectors[:, 1], vectors[:, 0], (vectors @ np.arange(1, vectors.shape[1] + 1)) // 64, sizes))
+        order = np.lexsort((vectors[:, 1], vectors[:, 0], (vectors.astype(np.float32) @ np.arange(1, vectors.shape[1] + 1, dtype=np.float32)) // 64, sizes))
         self.order, self.sizes, self.vectors = order, sizes[order], vectors[order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # upper corners, least and largest size
         cuts = np.arange(0, len(order), LEAF)
@@ -125,10 +126,10 @@ class RTree:
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, low, high = (x[nodes] for x in self.levels[depth])
-            ok = (100 * high >= t * size) & (100 * size >= t * low) & (np.minimum(upper, vector).sum(1) >= needed(size, np.maximum(low, -(-t * size // 100)), t))
+            ok = (100 * high >= t * size) & (100 * size >= t * low) & (np.minimum(upper, vector).sum(1, dtype=np.int64) >= needed(size, np.maximum(low, -(-t * size // 100)), t))
             nodes = (nodes[ok][:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < (len(self.levels[depth - 1][0]) if depth else len(self.order))]
-        ok = (100 * np.minimum(self.sizes[nodes], size) >= t * np.maximum(self.sizes[nodes], size)) & (np.minimum(self.vectors[nodes], vector).sum(1) >= needed(size, self.sizes[nodes], t))
+        ok = (100 * np.minimum(self.sizes[nodes], size) >= t * np.maximum(self.sizes[nodes], size)) & (np.minimum(self.vectors[nodes], vector).sum(1, dtype=np.int64) >= needed(size, self.sizes[nodes], t))
         return self.order[nodes[ok]]
 
 
@@ -136,6 +137,8 @@ def cell_pairs(sizes: np.ndarray, vectors: list[np.ndarray], comp: np.ndarray, l
     """Pairs of a point of left and one of right, of different components, that the bounds can't exclude."""
     groups = min(TREE, *(len(v) for v in vectors))
     flat = np.stack([fold(v, groups) for v in vectors])
+    if flat.max() < 256:
+        flat = flat.astype("u1")
     out = []
     tree = RTree(sizes[right], flat[right]) if len(right) > LEAF else None
     for i in left:
@@ -144,7 +147,7 @@ def cell_pairs(sizes: np.ndarray, vectors: list[np.ndarray], comp: np.ndarray, l
         else:
             near = right[(100 * np.minimum(sizes[right], sizes[i]) >= t * np.maximum(sizes[right], sizes[i])) & (comp[right] != comp[i])]
             if len(near):
-                near = near[np.minimum(flat[near], flat[i]).sum(1) >= needed(sizes[i], sizes[near], t)]
+                near = near[np.minimum(flat[near], flat[i]).sum(1, dtype=np.int64) >= needed(sizes[i], sizes[near], t)]
         for j in near[comp[near] != comp[i]]:
             if len(vectors[i]) == groups or bounded(int(sizes[i]), vectors[i], int(sizes[j]), vectors[j], t):
                 out.append((int(i), int(j)))
@@ -187,11 +190,11 @@ def _points(batches: Iterator[pa.RecordBatch], k: int, chunk: int = 1_000_000) -
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int, t: int, common) -> Iterator[pa.RecordBatch]:
-    """(key, h1): the hashes of each set that a linked set must share one of."""
+    """(key, h1, n): the hashes of each set that a linked set must share one of."""
     words, seen = word_hashes(), set()
     hot, rank = common.value
     for b in batches:
-        keys, names, sizes = [], [], []
+        keys, names, sizes, counts = [], [], [], []
         for text in b.column(0).to_pylist():
             s = words.shingles(text, k)
             name = identity(s)
@@ -206,8 +209,9 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, t: int, common) -> Iterator
             keys.append(s[:p])
             names.append(name[0])
             sizes.append(p)
+            counts.append(len(s))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], names=["key", "h1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.repeat(np.array(c, np.int64), sizes)) for c in (names, counts)]], names=["key", "h1", "n"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -237,7 +241,7 @@ def _allowed(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBat
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by cell (key, l, r): the pairs of each."""
+    """Of rows sorted by district and chunks (leader, l, r): the pairs of each."""
     held: list[tuple] = []
     cell = None
     out: list[tuple[int, int]] = []
@@ -294,10 +298,14 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
     common = spark.sparkContext.broadcast((np.array([r["h1"] for r in hot], np.int64).view(np.uint64)[order], np.array([r["n"] for r in hot], np.int64)[order]))
     points = scratch(rows.where("n > 0").groupBy("h1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("w").alias("w")))
 
-    keyed = base.select("text").mapInArrow(lambda b: _keys(b, k, t, common), "key long, h1 long")
-    cell = W.partitionBy("key")
-    keyed = keyed.withColumn("leader", F.min("h1").over(cell)).withColumn("most", F.max("h1").over(cell)).where("leader < most")
-    cells = scratch(keyed.select("key", "h1", "leader").distinct())
+    keyed = base.select("text").mapInArrow(lambda b: _keys(b, k, t, common), "key long, h1 long, n long")
+    by_size = W.partitionBy("key").orderBy("n", "h1")
+    once = keyed.withColumn("same", F.lag("h1").over(by_size)).where("same is null or same <> h1")  # equal sets of several tasks
+    once = once.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    starts = F.col("less").isNull() | (100 * F.col("less") < t * F.col("n"))
+    runs = once.where(~starts | (100 * F.col("n") >= t * F.col("more"))).withColumn("run", F.sum(starts.cast("int")).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.withColumn("leader", F.min("h1").over(W.partitionBy("key", "run")))
+    led = scratch(runs.where("h1 <> leader").groupBy("leader", "h1").agg(F.count("*").alias("m")))
     sized = points.select("h1", "n", "v")
 
     def with_sizes(pairs: DataFrame) -> DataFrame:
@@ -319,21 +327,22 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
         discard(sets, texts)
         return out
 
-    # the leaders that a point shares most cells with: a few for each point, whatever the size of its class
-    led = cells.where("h1 <> leader").groupBy(F.col("leader").alias("a"), F.col("h1").alias("b")).agg(F.count("*").alias("m"))
-    led = led.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("m"), "a"))).where(F.col("r") <= LEADERS).select("a", "b")
-    first = scratch(with_sizes(led).mapInArrow(lambda x: _allowed(x, t), "a long, b long"))
+    # a few leaders for each point, whatever the size of its class
+    best = led.withColumn("r", F.row_number().over(W.partitionBy("h1").orderBy(F.desc("m"), "leader"))).where(F.col("r") <= LEADERS)
+    best = best.select(F.col("leader").alias("a"), F.col("h1").alias("b"))
+    first = scratch(with_sizes(best).mapInArrow(lambda x: _allowed(x, t), "a long, b long"))
     links = verified(first)
     early = scratch(components(links))
 
-    # cells that still hold more than one component, in chunks that meet in pairs
-    known = cells.select("key", "h1").join(early.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("component", "h1"))
-    spread = known.withColumn("lo", F.min("comp").over(cell)).withColumn("hi", F.max("comp").over(cell)).withColumn("m", F.count("*").over(cell)).where("lo < hi")
-    chunked = spread.select("key", "h1", "comp", F.ceil(F.col("m") / CHUNK).cast("int").alias("of")).withColumn("chunk", F.pmod(F.xxhash64("h1"), "of").cast("int"))
+    # districts that still hold more than one component, in chunks that meet in pairs
+    members = led.select("leader", "h1").unionByName(led.select("leader", F.col("leader").alias("h1")).distinct())
+    known = scratch(members.join(early.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("component", "h1")).select("leader", "h1", "comp"))
+    spread = known.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("leader", F.ceil(F.col("m") / CHUNK).cast("int").alias("of"))
+    chunked = known.join(spread, "leader").withColumn("chunk", F.pmod(F.xxhash64("h1"), "of").cast("int"))
     other = F.sequence(F.lit(0), F.col("of") - 1)
-    dealt = chunked.withColumn("o", F.explode(other)).select("key", F.least("chunk", "o").alias("l"), F.greatest("chunk", "o").alias("r"), "h1", "comp", F.when(F.col("chunk") <= F.col("o"), 0).otherwise(1).alias("side"))
-    dealt = dealt.join(points.select("h1", "n", "w"), "h1").select("key", "l", "r", "h1", "n", "comp", "w", "side")
-    grouped = dealt.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    dealt = chunked.withColumn("o", F.explode(other)).select("leader", F.least("chunk", "o").alias("l"), F.greatest("chunk", "o").alias("r"), "h1", "comp", F.when(F.col("chunk") <= F.col("o"), 0).otherwise(1).alias("side"))
+    dealt = dealt.join(points.select("h1", "n", "w"), "h1").select("leader", "l", "r", "h1", "n", "comp", "w", "side")
+    grouped = dealt.repartition("leader", "l", "r").sortWithinPartitions("leader", "l", "r")
     found = grouped.mapInArrow(lambda b: _tree_pairs(b, t), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     second = scratch(found)
     late = verified(second)
@@ -341,7 +350,7 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
     named = points.select("h1", "rep").join(classes.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "rep", F.coalesce("component", "h1").alias("c"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     per_set = scratch(named.join(smallest, "c").select("h1", "component_id"))
-    discard(cells, first, links, early, second, late)
+    discard(led, known, first, links, early, second, late)
     full = rows.join(per_set, "h1", "left")
     mine = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return full.select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), mine.alias("component_id"), "h1")
