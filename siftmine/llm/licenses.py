@@ -43,8 +43,8 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
-# Words that are in many texts of any kind, and so don't make a line worth a comparison.
-COMMON = "a above and any are as at be by copy except file following for form forms free from in into is law may no not of on or out person provided related source terms that the this to use use, v with without work you your any-purpose author available conditions met made permitted program purpose software subject under extent possible has all".split()
+# What a line must hold to be a licence header at all (lower case, within words too).
+MARKERS = ["licen", "copyright", "permission", "redistribution", "all rights", "unencumbered"]
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying"
@@ -54,33 +54,31 @@ def terms_of(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
-def weights(templates: list[tuple[str, str]], threshold: float) -> tuple[dict[str, float], float, list[tuple[int, str, str, float]], list[str]]:
-    """Inverse document frequencies by term, that of an unknown term, unit vectors of the templates (number, licence,
-    term, weight), and the terms one of which is in every text within the threshold of a template."""
+def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
+    """Inverse document frequencies by term, that of an unknown term, and unit vectors of the templates (number, licence, term, weight)."""
     bags = [terms_of(t) for _, t in templates]
     df: dict[str, int] = {}
     for bag in bags:
         for w in set(bag):
             df[w] = df.get(w, 0) + 1
     idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
-    rows, needed = [], set()
+    rows = []
     for k, ((name, _), bag) in enumerate(zip(templates, bags)):
         v = {w: bag.count(w) * idf[w] for w in set(bag)}
         norm = math.sqrt(sum(x * x for x in v.values()))
         rows += [(k, name, w, v[w] / norm) for w in sorted(v)]
-        # what is left without the needed terms must be shorter than the threshold, so that by Cauchy-Schwarz none is missed
-        left = {w: v[w] / norm for w in v}
-        for w in sorted((w for w in v if w not in COMMON), key=lambda w: -left[w]):
-            needed.add(w)
-        while math.sqrt(sum(x * x for w, x in left.items() if w not in needed)) >= threshold:
-            needed.add(max((w for w in left if w not in needed), key=lambda w: left[w]))
-    return idf, math.log(1 + len(bags)) + 1, rows, sorted(needed)
+    return idf, math.log(1 + len(bags)) + 1, rows
+
+
+def marked(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(m) for m in MARKERS])
 
 
 def matched(units: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """Of units(keys, unit) the best template of each within the threshold: keys, license, similarity."""
     spark = units.sparkSession
-    idf, unknown, rows, _ = weights(templates, threshold)
+    idf, unknown, rows = weights(templates)
     frame = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))  # as many rows as the templates have terms
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     tf = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -99,27 +97,24 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """Licences of files(id, path, text): id, path, license, similarity, via; a row for each row.
 
-    A file's own licence is the best match of its lines (`header`), or of its whole text where its name is that of a
-    licence file (`file`); of equal matches the first template wins. Otherwise the nearest directory above with a
-    licence file gives it (`inherited`, similarity of that file), of several there the best match, then the smallest
-    identifier. Without any, license and via are null and similarity is 0. A null or empty text has no licence of its
+    A file's own licence is the best match of those of its lines that hold one of MARKERS (`header`), or of its whole
+    text where its name is that of a licence file (`file`); of equal matches the first line and template win.
+    Otherwise the nearest directory above with a licence file gives it (`inherited`, similarity of that file), of
+    several there the best match, then the smallest identifier. Without any, license and via are null and similarity is 0. A null or empty text has no licence of its
     own, a null path inherits nothing, and rows with equal ids share what any of them matches.
     """
-    _, _, _, needed = weights(templates, threshold)
     base = files.select(F.col(id).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    hint = "(?i)(" + "|".join(re.escape(w).replace(r"\-", "-") for w in needed) + ")"
-    plain = reduce(lambda a, b: a | b, [F.lower("text").contains(w) for w in needed if len(w) > 3])
-    exact = F.col("text").rlike(r"(?i)\b(" + "|".join(w for w in needed if len(w) <= 3) + r")\b") if any(len(w) <= 3 for w in needed) else F.lit(False)
-    some = scratch(base.where("id is not null").where(plain | exact))
-    lines = some.select("id", "path", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "unit")).where(F.col("unit").rlike(hint))
-    named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME)
-    header = matched(lines.select("id", "path", "line", "unit"), ["id", "path", "line"], templates, threshold)
+    named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
+    # u tells files with equal ids apart
+    some = scratch(base.where("id is not null").where(marked(F.col("text")) | named).withColumn("u", F.xxhash64("id", "path", "text")))
+    lines = some.select("id", "u", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "unit")).where(marked(F.col("unit")))
+    header = matched(lines, ["id", "u", "line"], templates, threshold)
     first = F.max(F.struct("similarity", (-F.col("line")).alias("l"), "license")).alias("b")
-    header = header.groupBy("id").agg(first).select("id", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"), F.lit("header").alias("via"))
-    wholes = matched(some.where(named).select("id", "path", F.col("text").alias("unit")), ["id", "path"], templates, threshold)
-    files_of = some.where(named).select("id", "path").distinct().join(header.select("id", "license", "similarity"), "id").unionByName(wholes)
-    wholes = wholes.select("id", "license", "similarity", F.lit("file").alias("via"))
-    own = scratch(header.unionByName(wholes).groupBy("id").agg(F.max(F.struct("similarity", "via", "license")).alias("b")).select("id", "b.*"))
+    header = header.groupBy("id", "u").agg(first).select("id", "u", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"), F.lit("header").alias("via"))
+    wholes = matched(some.where(named).select("id", "u", F.col("text").alias("unit")), ["id", "u"], templates, threshold).withColumn("via", F.lit("file"))
+    found = header.unionByName(wholes)
+    files_of = some.where(named).select("u", "path").distinct().join(found, "u")
+    own = scratch(found.groupBy("id").agg(F.max(F.struct("similarity", "via", "license")).alias("b")).select("id", "b.*"))
 
     # the licence of each directory that has a licence file, and the nearest of those above each directory
     given = files_of.withColumn("dir", directory(F.col("path"))).withColumn("r", F.row_number().over(W.partitionBy("dir").orderBy(F.desc("similarity"), "license"))).where("r = 1").select(F.col("dir").alias("above"), F.col("license").alias("l"), F.col("similarity").alias("s"))
@@ -137,3 +132,21 @@ def op6_license_scan(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return scan(docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))))
+
+
+def oracle() -> str:
+    """op6 in SQL; none of its paths names a licence file, so nothing is inherited there."""
+    idf, unknown, rows = weights(TEMPLATES)
+    known = ", ".join(f"('{w}', {v!r})" for w, v in sorted(idf.items()))
+    frame = ", ".join(f"({k}, '{name}', '{w}', {x!r})" for k, name, w, x in rows)
+    marks = lambda c: " OR ".join(f"contains(lower({c}), '{m}')" for m in MARKERS)
+    return f"""WITH idf(term, idf) AS (VALUES {known}), tpl(template, license, term, w) AS (VALUES {frame}),
+d AS (SELECT doc_id, string_split_regex(text, '[\r\n]+') AS l FROM documents WHERE doc_id IS NOT NULL AND ({marks("text")})),
+ln AS (SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS line FROM d),
+tf AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM ln WHERE {marks("unit")}) GROUP BY ALL),
+v AS (SELECT doc_id, line, term, tf * coalesce(idf, {unknown!r}) AS x FROM tf LEFT JOIN idf USING (term)),
+nrm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS n FROM v GROUP BY ALL),
+dot AS (SELECT doc_id, line, template, license, sum(x * w) AS dot FROM v JOIN tpl USING (term) GROUP BY ALL),
+sim AS (SELECT doc_id, line, template, license, round(dot / n, 6) AS similarity FROM dot JOIN nrm USING (doc_id, line)),
+best AS (SELECT doc_id, license, similarity FROM sim WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, template) = 1)
+SELECT doc_id, concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, license, coalesce(similarity, 0.0) AS similarity, CASE WHEN license IS NOT NULL THEN 'header' END AS via FROM documents LEFT JOIN best USING (doc_id)"""

@@ -7,6 +7,7 @@ from .embeddings import op3_embedding_range_join
 from .jaccard import op9_jaccard_join
 from .language import op2_language_mixture
 from .licenses import op6_license_scan
+from .licenses import oracle as op6_sql
 from .packing import op5_mixture_packing
 from .quality import op8_quality_votes
 from .secrets import op7_secret_scan
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": op6_sql()}
