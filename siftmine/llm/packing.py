@@ -20,8 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, ship
-from .tokens import PieceEncoder, vocabulary
+from .tokens import encoder_of, vocabulary
 
+MOST_BASES = 500_000  # rows of (source, part) that are sent to every task
 REST = "*"  # the queue of all sources that are too small for one of their own
 
 
@@ -85,7 +86,7 @@ class Plan:
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int, group: int = 3000) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, encoder, seen = TaskContext.get().partitionId(), PieceEncoder(path), {}
+    part, encoder, seen = TaskContext.get().partitionId(), encoder_of(path), {}
     small = max(end_id, encoder.size) < 1 << 16
     tail = np.array([end_id], "<u4").tobytes()
     for batch in batches:
@@ -155,6 +156,9 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
     bases = sizes.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("m").over(order), F.lit(0)))
     totals = {r["queue"]: r["m"] for r in bases.groupBy("queue").agg(F.sum("m").alias("m")).collect()}
     plan = Plan(totals, None if targets is None else {q if q == REST else f"={q}": v for q, v in targets.items()}, window)
+    bases = scratch(bases)
+    if bases.count() <= MOST_BASES:  # else a shuffled join
+        bases = F.broadcast(bases)
     left, right = ids.alias("i"), bases.alias("b")
     placed = left.join(right, (F.col("i.part") == F.col("b.part")) & F.col("i.source").eqNullSafe(F.col("b.source")))
     placed = placed.select("doc_id", "i.source", "queue", (F.col("base") + F.col("before")).alias("x"), "n", "width", "ids")
