@@ -118,3 +118,9 @@ def trending(stream: DataFrame, order: str, text: str, seed: int = 42, size: int
         counts = counts.where("n > 0")
     # at most the tags of the rows that ever entered
     return counts.withColumn("level", F.dense_rank().over(W.orderBy(F.desc("n")))).where(F.col("level") <= levels).select("tag", "n")
+
+
+def retracted_counts(added: DataFrame, removed: DataFrame, tag: str = "tag") -> DataFrame:
+    """Counts of what was added less what was removed: (tag, n); 0 where both are as many."""
+    plus, minus = added.select(tag, F.lit(1).alias("d")), removed.select(tag, F.lit(-1).alias("d"))
+    return plus.unionByName(minus).groupBy(tag).agg(F.sum("d").alias("n"))

@@ -165,3 +165,4 @@ SELECT id, CASE WHEN distance < 16 THEN cluster ELSE -1 END AS cluster, round(di
 ORACLE_SQL["stream_fm"] = ORACLE_SQL["fm_estimate"]
 ORACLE_SQL["stream_bloom"] = ORACLE_SQL["bloom_fpr"]
 ORACLE_SQL["stream_reservoir"] = ORACLE_SQL["reservoir_sample"]
+ORACLE_SQL["stream_trending"] = ORACLE_SQL["trending_tags"]

@@ -176,5 +176,9 @@ def stream_reservoir(spark, d) -> DataFrame:
     return jobs.run_reservoir(spark, d)
 
 
-NAMES = "review_stats top10_users top10_items grouped_mean_topk partition_layout frequent_pairs frequent_triples frequent_large_baskets frequent_swapped frequent_fp_growth son_frequent son_candidates minhash_signatures lsh_candidates lsh_similar_pairs user_pearson user_cf item_cf lsh_item_cf cf_rmse als_predictions overlap_graph label_propagation connected_components edge_betweenness modularity communities mahalanobis_assign bfr_rounds bfr_clusters bloom_fpr fm_estimate reservoir_sample trending_tags stream_fm stream_bloom stream_reservoir".split()
+def stream_trending(spark, d) -> DataFrame:
+    return jobs.run_trending(spark, d)
+
+
+NAMES = "review_stats top10_users top10_items grouped_mean_topk partition_layout frequent_pairs frequent_triples frequent_large_baskets frequent_swapped frequent_fp_growth son_frequent son_candidates minhash_signatures lsh_candidates lsh_similar_pairs user_pearson user_cf item_cf lsh_item_cf cf_rmse als_predictions overlap_graph label_propagation connected_components edge_betweenness modularity communities mahalanobis_assign bfr_rounds bfr_clusters bloom_fpr fm_estimate reservoir_sample trending_tags stream_fm stream_bloom stream_reservoir stream_trending".split()
 QUERIES = {n: globals()[n] for n in NAMES}

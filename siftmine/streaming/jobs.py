@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftmine.operators import sketches
 from siftmine.sources.scratch import settled
+from siftmine.sources.writers import append_line
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,3 +129,83 @@ def run_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     drain(sampled(event_stream(spark, sf_dir)).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start())
     rows = spark.table(name)
     return rows.join(F.broadcast(rows.agg(F.max("total").alias("total"))), "total").select("place", "n")  # the state after the last batch
+
+
+def _now() -> str:
+    import time
+
+    return time.strftime("%Y-%m-%d %H:%M:%S", time.localtime())
+
+
+def start_bloom_report(stream: DataFrame, path: str, every: str | None = "10 seconds", value: str = "city"):
+    """Start a query that appends `Time,FPR` for each micro-batch of a stream with `value`, also for empty ones.
+
+    Rows are numbered by batch and place, as they arrive. Without `every` it runs what is available and ends.
+    """
+    spark = stream.sparkSession
+    monitor = BloomMonitor(spark, "seq", value, "day")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        rows = batch.where(F.col(value).isNotNull()).select(value, (F.lit(epoch) * (1 << 50) + F.monotonically_increasing_id()).alias("seq"), F.lit(str(epoch)).alias("day"))
+        monitor(settled(rows), epoch)
+        seen = spark.read.parquet(monitor.folder).agg(F.count(F.when(F.col("false_positive"), 1)).alias("fp"), F.count("*").alias("n")).first()
+        append_line(path, "Time,FPR", [_now(), seen["fp"] / seen["n"] if seen["n"] else 0])
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", _folder(spark))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def start_fm_report(stream: DataFrame, path: str, every: str | None = "5 seconds", window: str = "30 seconds", slide: str = "10 seconds"):
+    """Start a query that appends `Time,Gound Truth,Estimation` (spelt so) with the latest window's counts of a stream
+    (ts, city), for each micro-batch; a batch without a window writes 0 and the estimate of nothing, 0.5."""
+    spark = stream.sparkSession
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        last = batch.orderBy(F.desc("start")).select("truth", "estimate").head()
+        append_line(path, "Time,Gound Truth,Estimation", [_now(), *(last or (0, 0.5))])
+
+    writer = fm_windows(stream, window, slide).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", _folder(spark))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def trending_stream(stream: DataFrame, text: str = "text", order: str = "event_id", seed: int = 42, size: int = 100, levels: int = 3) -> DataFrame:
+    """Tags of a reservoir of texts with the highest `levels` counts as a stream of (tag, n, total), after each batch that
+    replaced an element. The state is the number of texts, the sample and the count of every tag that was ever in it:
+    a text that comes adds one to its tags, one that goes takes one away."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, sample, tags, counts = state.get if state.exists else (0, [], [], [])
+        sample, of, replaced = list(sample), dict(zip(tags, counts)), False
+
+        def change(t: str, by: int) -> None:
+            for w in (t or "").split():
+                if len(w) > 1 and w[0] == "#":
+                    of[w[1:]] = of.get(w[1:], 0) + by
+
+        for t in pd.concat(list(parts)).sort_values("o")["t"]:
+            count += 1
+            if count <= size:
+                sample.append(t)
+                change(t, 1)
+            else:
+                r = ((count * 1103515245 + seed * 12345) % 2147483648) % count + 1
+                if r < size:
+                    change(sample.pop(r), -1)
+                    sample.append(t)
+                    change(t, 1)
+                    replaced = True
+        state.update((count, sample, list(of), list(of.values())))
+        high = sorted(set(of.values()), reverse=True)[:levels]
+        rows = sorted((x for x in of.items() if x[1] in high), key=lambda x: (-x[1], x[0])) if replaced else []
+        yield pd.DataFrame({"tag": pd.Series([x[0] for x in rows], dtype=object), "n": pd.Series([x[1] for x in rows], dtype="int64"), "total": pd.Series([count] * len(rows), dtype="int64")})
+
+    one = stream.select(F.col(order).alias("o"), F.col(text).alias("t"), F.lit(0).alias("key")).groupBy("key")
+    return one.applyInPandasWithState(step, "tag string, n long, total long", "total long, sample array<string>, tags array<string>, counts array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags after the last batch."""
+    name = f"trending_{uuid.uuid4().hex}"
+    drain(trending_stream(event_stream(spark, sf_dir)).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start())
+    rows = spark.table(name)
+    return rows.join(F.broadcast(rows.agg(F.max("total").alias("total"))), "total").select("tag", "n")

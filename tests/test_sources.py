@@ -1,6 +1,6 @@
 import json
 
-from siftmine.operators import relational
+from siftmine.operators import relational, sketches
 from siftmine.sources import readers, schemas, writers
 from siftmine.streaming import jobs
 
@@ -42,3 +42,23 @@ def test_file_stream(spark, tmp_path):
     q = readers.file_json(spark, str(tmp_path / "in"), schemas.CITY).select("city").writeStream.format("memory").queryName("cities").trigger(availableNow=True).start()
     jobs.drain(q)
     assert [r["city"] for r in spark.table("cities").collect() if r["city"]] == ["x"]
+
+
+def test_stream_reports(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, names in enumerate((["x", "y", "x"], ["z"], [])):
+        (tmp_path / "in" / f"{k}.txt").write_text("".join(json.dumps({"city": c}) + "\n" for c in names))
+    stream = readers.file_json(spark, str(tmp_path / "in"), schemas.CITY)
+    jobs.drain(jobs.start_bloom_report(stream, str(tmp_path / "fpr"), every=None))
+    lines = (tmp_path / "fpr").read_text().splitlines()
+    assert lines[0] == "Time,FPR" and len(lines) >= 3 and all(0 <= float(x.split(",")[1]) <= 1 for x in lines[1:])
+    stream = readers.file_json(spark, str(tmp_path / "in"), schemas.CITY).withColumnRenamed("timestamp", "ts")
+    jobs.drain(jobs.start_fm_report(stream, str(tmp_path / "fm"), every=None))
+    lines = (tmp_path / "fm").read_text().splitlines()
+    assert lines[0] == "Time,Gound Truth,Estimation" and "3" in {x.split(",")[1] for x in lines[1:]}
+
+
+def test_retracted_counts(spark):
+    tags = lambda *t: spark.createDataFrame([(x,) for x in t], "tag string")
+    got = sketches.retracted_counts(tags("a", "a", "b"), tags("b", "a")).collect()
+    assert {r["tag"]: r["n"] for r in got} == {"a": 1, "b": 0}
