@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import weakref
@@ -12,11 +11,18 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_kept: dict = {}
 _shipped: "weakref.WeakSet" = weakref.WeakSet()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that their Python workers can import it."""
+    """Send this package to the executors once per context, so that their Python workers can import it.
+
+    Rows here hold whole texts, so unless someone has chosen another size, Arrow batches are made smaller.
+    """
+    if spark.conf.get(ROWS_PER_BATCH, "10000") == "10000":
+        spark.conf.set(ROWS_PER_BATCH, "2000")
     sc = spark.sparkContext
     if sc in _shipped:
         return
@@ -29,6 +35,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc)
 
 
+def kept(name: object, make):
+    """What a Python worker has learned and its next task can use; one thing at a time, so that stages don't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

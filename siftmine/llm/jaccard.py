@@ -17,7 +17,6 @@ yields the pairs that the bound can't exclude, and those are compared in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, discard, scratch, ship
+from .common import components, discard, kept, scratch, ship
 
 # odd multipliers, one for each place in a shingle; any would do
 MULTIPLIERS = [np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % i) | 1) for i in range(64)]
@@ -34,7 +33,7 @@ COARSE = 64  # coordinates of the count vector that leaders are compared by
 TREE = 1024  # and at most of those in a tree
 FINEST = 1 << 16  # twice as many as a set has hashes, up to this, for the last bound
 LEAF = 16
-CHUNK = 2048  # points of a district that are joined at once
+CHUNK = 1024  # points of a district that are joined at once
 LEADERS = 3
 
 
@@ -70,10 +69,8 @@ class WordHashes(dict):
         return np.unique(out)
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    """One for each Python worker: what a task has learned serves the next."""
-    return WordHashes()
+    return kept("word hashes", WordHashes)
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
@@ -93,12 +90,12 @@ def fine_groups(n: int) -> int:
 
 
 def vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+    return np.frombuffer(raw, "u1" if raw[0] == 1 else "<u4", offset=1)
 
 
 def fold(v: np.ndarray, groups: int) -> np.ndarray:
     """The coarser count vector; groups are residues, so those of the finer one nest."""
-    return v.reshape(-1, groups).sum(0) if len(v) > groups else v
+    return v.reshape(-1, groups).sum(0, dtype=np.int32) if len(v) > groups else v
 
 
 def needed(a, b, t: int):
@@ -157,7 +154,7 @@ def cell_pairs(sizes: np.ndarray, vectors: list[np.ndarray], comp: np.ndarray, l
 def bounded(n: int, a: np.ndarray, m: int, b: np.ndarray, t: int) -> bool:
     """Whether the bound on the overlap allows a link."""
     g = min(len(a), len(b))
-    return 100 * min(n, m) >= t * max(n, m) and int(np.minimum(fold(a, g), fold(b, g)).sum()) >= needed(n, m, t)
+    return 100 * min(n, m) >= t * max(n, m) and int(np.minimum(fold(a, g), fold(b, g)).sum(dtype=np.int64)) >= needed(n, m, t)
 
 
 def _points(batches: Iterator[pa.RecordBatch], k: int, chunk: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -282,8 +279,8 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
     component_id (the smallest id reachable, its own included) and h1, the name of the set; a row for each row.
 
     ASCII letters are folded, and words part at ASCII white space. Texts with fewer words are one shingle. Null and
-    empty texts have no shingle and link with nothing; a row without an id keeps its n_shingles but has no class of
-    its own, though it may connect others. Equal ids with different texts are different points, and the class of
+    empty texts have no shingle and link with nothing; a row without an id keeps its n_shingles and has no
+    class. Equal ids with different texts are different points, and the class of
     either is reported by row. Every linked pair is found: the order of the hashes, the leaders and the list of
     `hot_rows` widely shared hashes bear on cost alone.
     """
@@ -350,7 +347,7 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
     named = points.select("h1", "rep").join(classes.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "rep", F.coalesce("component", "h1").alias("c"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     per_set = scratch(named.join(smallest, "c").select("h1", "component_id"))
-    discard(led, known, first, links, early, second, late)
+    discard(points, led, known, first, links, early, second, late)
     full = rows.join(per_set, "h1", "left")
     mine = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return full.select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), mine.alias("component_id"), "h1")

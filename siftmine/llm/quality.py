@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, kept, ship
 from .toxicity import training_rows
 
 SHAPES, PAIRS, REPEATS, WORDS = 1024, 2048, 8, 1024
@@ -65,6 +65,10 @@ class Tokens(dict):
         return out
 
 
+def known_tokens() -> Tokens:
+    return kept("tokens", Tokens)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -118,7 +122,7 @@ def train(bags: np.ndarray, labels: np.ndarray, dims: int = 48, neighbours: int
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens = Tokens()
+    tokens = known_tokens()
     for b in batches:
         texts = b.column(1).to_pylist()
         for i in range(0, len(texts), 500):
@@ -145,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rule: Column
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, block: int = 400) -> Iterator[pa.RecordBatch]:
-    m, tokens = model.value, Tokens()
+    m, tokens = model.value, known_tokens()
     for b in batches:
         texts, out = b.column(b.num_columns - 1).to_pylist(), []
         for i in range(0, len(texts), block):
@@ -168,4 +172,4 @@ def op8_quality_votes(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), rule=crc_mod("doc_id", 4) != 2)
-    return score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -6,12 +6,13 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 GROUP = 8_000_000  # characters that are encoded together
 UNSAFE = re.compile(r" (?=\s)")
 BREAKS = re.compile(r" (?=\S)")
@@ -133,7 +134,6 @@ class PieceEncoder(dict):
         return out
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> PieceEncoder:
     """One encoder for each Python worker: what a task has learned serves the next."""
-    return PieceEncoder(path)
+    return kept(("encoder", path), lambda: PieceEncoder(path))
