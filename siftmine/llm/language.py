@@ -166,6 +166,7 @@ def _identify(batches: Iterator[pa.RecordBatch], shared, penalty: float, group:
         mix: list[list[tuple[str, float]]] = []
         for i in range(0, len(texts), group):
             bags = [Counter(WORD.findall((t or "").lower())) for t in texts[i : i + group]]
+            bags = [x if any(c.isalpha() for w in x for c in w) else None for x in bags]  # numerals alone are no words
             full = [j for j, x in enumerate(bags) if x]
             shares = np.zeros((len(bags), len(model.langs)))
             if full and model.langs:
@@ -204,4 +205,4 @@ def op2_language_mixture(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, rule=crc_mod("doc_id", 4) != 2)
-    return identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages")
+    return identify(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
