@@ -24,7 +24,7 @@ TABLE = 1 << 18
 DIMS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-PAD = 2  # empty places after each text, so that no filter spans two texts
+PAD = max(WIDTHS)  # empty places after each text, so that every filter has a place in any
 THRESHOLD = 0.7
 
 
@@ -128,7 +128,7 @@ class Model:
             z += np.log(THRESHOLD / (1 - THRESHOLD)) - self.cuts[self.language(r)]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-def train(ids: list[np.ndarray], labels: np.ndarray, langs: list[str | None] | None = None, epochs: int = 4, rate: float = 0.01, seed: int = 7) -> Model:
+def train(ids: list[np.ndarray], labels: np.ndarray, langs: list[str | None] | None = None, epochs: int = 8, rate: float = 0.01, seed: int = 7) -> Model:
     """Fit on word rows and 0/1 labels; langs serve to calibrate thresholds only. With one label only, all scores are low or high."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, dtype=np.float32)
@@ -140,8 +140,9 @@ def train(ids: list[np.ndarray], labels: np.ndarray, langs: list[str | None] | N
     n1, n0 = max(1.0, labels[kept].sum()), max(1.0, len(kept) - labels[kept].sum())
     table = rng.normal(0, 0.05, (TABLE, DIMS)).astype(np.float32)
     odds = np.log((ones + 1) / (n1 + 2)) - np.log((zeros + 1) / (n0 + 2))
-    table[:, 0] = np.where(ones + zeros > 1, odds, np.minimum(odds, 0)) / 3  # the first dimension begins as the word's log-odds
-    table[0] = 0
+    seen = ones + zeros
+    table[:, 0] = np.where(seen > 1, odds, np.minimum(odds, 0)) / 3  # the first dimension begins as the word's log-odds
+    table[seen == 0] = 0  # words that training doesn't know say nothing
     m = Model(table, {k: rng.normal(0, 0.2, (k, DIMS, FILTERS)).astype(np.float32) for k in WIDTHS}, {k: np.zeros(FILTERS, np.float32) for k in WIDTHS}, rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
     for k in WIDTHS:
         m.filters[k][0, 0, : FILTERS // 2] += 1
@@ -211,8 +212,8 @@ def _calibrate(m: Model, ids: list[np.ndarray], labels: np.ndarray, langs: list[
             np.add.at(table[:, names.index(x)], ids[i][:, 0], 1)
     m.langs, m.lang_table = names, np.log(table / table.sum(0)).astype(np.float16)
     some = np.flatnonzero(held) if held.any() else np.arange(len(ids))
-    each = [m.responses(ids[i]) for i in some]
-    z, lang = np.array([m.logit(r) for r in each]), np.array([m.language(r) for r in each])
+    both = [(m.logit(r), m.language(r)) for r in (m.responses(ids[i]) for i in some)]
+    z, lang = np.array([x for x, _ in both]), np.array([x for _, x in both])
     y = labels[some]
     whole = _cut(z, y, 0.0)
     m.cuts = np.array([_cut(z[lang == k], y[lang == k], whole) if ((lang == k) & (y > 0)).sum() >= 10 else whole for k in range(len(names))] + [whole])
@@ -246,7 +247,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["y", "lang", "ids"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rule: Column | None = None, most: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rule: Column | None = None, most: int = 8_000) -> Model:
     """Train on docs(doc_id, text, lang) with labels(doc_id, <label>) that meet the rule: a sample of about `most` of them
     at most, whole texts each. Null labels are left out; no usable label gives a model that scores all texts low."""
     ship(docs.sparkSession)
@@ -284,4 +285,4 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), rule=crc_mod("doc_id", 3) != 1)
-    return score(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
