@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -187,6 +187,22 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_id
         yield flush()
 
 
+def part_of(docs: DataFrame, n: int) -> Column:
+    """The part, of n that ascend with doc_id and have about as many rows each, of a document; null ids are in the first.
+
+    The bounds come from quantiles of doc_id alone, so no text is read for them.
+    """
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or []
+    bounds, step = sorted(set(bounds))[: n - 1], 64
+    if not bounds:
+        return F.lit(0)
+    # first among every 64th bound, then among the next 64
+    every, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[::step]))
+    below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("doc_id")))
+    block = F.greatest(below(coarse) - 1, F.lit(0))
+    return F.coalesce((block * step + below(F.slice(every, block * step + 1, F.lit(step)))).cast("int"), F.lit(0))
+
+
 def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, block_ids: int = 500_000, partitions: int | None = None) -> DataFrame:
     """Write the token ids of docs(doc_id, text) in ascending doc_id order (nulls first, then by a hash of the text).
 
@@ -198,7 +214,8 @@ def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None =
     ship(spark)
     tokenizer = tokenizer or vocabulary()
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ordered = plain.repartitionById(n, part_of(plain, n)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     blocks = ordered.mapInArrow(lambda b: _encoded(b, tokenizer, end_id, block_ids), "part long, block long, ids_before long, n_docs long, n_ids long, payload binary")
     if path is None:
         return scratch(blocks)

@@ -43,7 +43,7 @@ class PieceEncoder(dict):
     kinds encode every text whole. Strings of special tokens are ordinary text. A null text has no ids.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -85,7 +85,14 @@ class PieceEncoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         """A piece with a space before it, or after a line end one without."""
-        if piece[:1] != "\n":
+        stem = piece.rstrip(MARKS)
+        if stem.isalpha():  # what _piece() would do, without calls, as it is the usual case
+            if len(stem) < len(piece):
+                out = self[stem] + self["\n" + piece[len(stem) :]]
+            else:
+                key = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                out = array("I", [t.id for t in self.bpe(self.space + key)]).tobytes()
+        elif piece[:1] != "\n":
             out = self._piece(piece, True)
         elif not piece[1:].strip(MARKS):
             out = self._bpe(piece[1:], False)
@@ -124,7 +131,7 @@ class PieceEncoder(dict):
         coded = lists.flatten().dictionary_encode()
         codes, first = coded.indices.to_numpy().copy(), lists.offsets.to_numpy()
         heads = coded.dictionary.take(coded.indices.take(lists.offsets[:-1])).to_pylist()
-        ids = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        ids = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))  # quicker than to_pylist()
         codes[first[:-1]] = np.arange(len(ids), len(ids) + len(texts))
         ids += [self._piece(h, False) if h else b"" for h in heads]
         at, first = ids.__getitem__, first.tolist()
