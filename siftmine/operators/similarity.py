@@ -38,13 +38,16 @@ def candidate_pairs(sigs: DataFrame, rows: int = ROWS, n: int = len(MINHASHES))
 
 
 def jaccard(pairs: DataFrame, members: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Exact similarity of each pair, at least the threshold: id1, id2, similarity."""
+    """Exact similarity of each pair, at least the threshold: id1, id2, similarity.
+
+    Pairs whose sizes alone exclude the threshold go first; each set then travels once for a pair, as an array.
+    """
+    sets = members.groupBy("set_id").agg(F.collect_set(F.col("e").cast("int")).alias("s"))
     sizes = members.groupBy("set_id").agg(F.count("*").alias("n"))
-    left = members.select(F.col("set_id").alias("id1"), "e")
-    right = members.select(F.col("set_id").alias("id2"), "e")
-    common = pairs.join(left, "id1").join(right, ["id2", "e"]).groupBy("id1", "id2").agg(F.count("*").alias("i"))
-    out = common.join(sizes.select(F.col("set_id").alias("id1"), F.col("n").alias("n1")), "id1").join(sizes.select(F.col("set_id").alias("id2"), F.col("n").alias("n2")), "id2")
-    return out.select("id1", "id2", (F.col("i") / (F.col("n1") + F.col("n2") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    side = lambda k, what: what.select(F.col("set_id").alias(f"id{k}"), F.col(what.columns[1]).alias(f"{what.columns[1]}{k}"))
+    near = pairs.join(side(1, sizes), "id1").join(side(2, sizes), "id2").where(F.least("n1", "n2") >= F.lit(threshold) * F.greatest("n1", "n2"))
+    both = near.join(side(1, sets), "id1").join(side(2, sets), "id2").withColumn("i", F.size(F.array_intersect("s1", "s2")))
+    return both.select("id1", "id2", (F.col("i") / (F.col("n1") + F.col("n2") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def similar_pairs(df: DataFrame, set_id: str, element: str, threshold: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmine.operators import cluster, graph, itemsets, recommend, relational, similarity, sketches
+from siftmine.sources.scratch import settled
 from siftmine.streaming import jobs
 
 from . import testdata as T
@@ -126,7 +127,7 @@ def edge_betweenness(spark, d) -> DataFrame:
 
 
 def modularity(spark, d) -> DataFrame:
-    edges = overlap_graph(spark, d)
+    edges = settled(overlap_graph(spark, d))
     return graph.modularity(edges, graph.label_propagation(edges)).withColumn("modularity", F.round("modularity", 8))
 
 
