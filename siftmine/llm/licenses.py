@@ -43,7 +43,7 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
-# What a line must hold to be a licence header at all (lower case, within words too).
+# Words that the SQL below asks of a line; scan() compares every line that can be within the threshold.
 MARKERS = ["licen", "copyright", "permission", "redistribution", "all rights", "unencumbered"]
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -70,9 +70,32 @@ def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float,
     return idf, math.log(1 + len(bags)) + 1, rows
 
 
-def marked(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(m) for m in MARKERS])
+def near(unit: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """Whether a text can be within the threshold of a template; false only for texts that can't.
+
+    With tf >= 1 the squared norm, the sum of (tf idf)^2 by term, is at least the sum of idf^2 over all occurrences, and
+    a template's dot product is a sum over occurrences too. So what falls short by these sums does so by the cosine.
+    """
+    idf, unknown, rows = weights(templates)
+    tokens = F.regexp_extract_all(F.lower(unit), F.lit(TERM), F.lit(0))
+    zero, count = F.lit(0.0), F.size(tokens)
+    most: dict[str, float] = {}
+    for _, _, w, x in rows:
+        most[w] = max(most.get(w, 0.0), x * idf[w])
+    square = {w: v * v for w, v in idf.items()}
+    held = F.filter(tokens, lambda w: w.isin(sorted(idf)))
+
+    def total(of: dict[str, float], terms: Column) -> Column:
+        table = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair])
+        return F.aggregate(terms, zero, lambda a, w: a + F.coalesce(F.element_at(table, w), zero))
+
+    norm = F.sqrt(total(square, held) + (count - F.size(held)) * unknown * unknown)
+    least = (threshold - 1e-6) * norm  # similarities are rounded to six places
+    own: dict[int, dict[str, float]] = {}
+    for k, _, w, x in rows:
+        own.setdefault(k, {})[w] = x * idf[w]
+    some = reduce(lambda a, b: a | b, [total(of, held) >= least for of in own.values()])
+    return (count > 0) & (total(most, held) >= least) & some
 
 
 def matched(units: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -97,23 +120,26 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """Licences of files(id, path, text): id, path, license, similarity, via; a row for each row.
 
-    A file's own licence is the best match of those of its lines that hold one of MARKERS (`header`), or of its whole
-    text where its name is that of a licence file (`file`); of equal matches the first line and template win.
-    Otherwise the nearest directory above with a licence file gives it (`inherited`, similarity of that file), of
-    several there the best match, then the smallest identifier. Without any, license and via are null and similarity is 0. A null or empty text has no licence of its
-    own, a null path inherits nothing, and rows with equal ids share what any of them matches.
+    A file's own licence is the best match of its lines (`header`), or of its whole text where its name is that of a
+    licence file (`file`); of equal matches the first line and template win. Every line is compared that isn't ruled
+    out by near(). Otherwise the nearest directory above with a licence file gives it (`inherited`, similarity of that
+    file), of several there the best match, then the smallest identifier. Without any, license and via are null and
+    similarity is 0. A null or empty text has no licence of its own, a null path inherits nothing, and rows with equal
+    ids share what any of them matches.
     """
     base = files.select(F.col(id).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     # u tells files with equal ids apart
-    some = scratch(base.where("id is not null").where(marked(F.col("text")) | named).withColumn("u", F.xxhash64("id", "path", "text")))
-    lines = some.select("id", "u", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "unit")).where(marked(F.col("unit")))
+    known = base.where("id is not null").withColumn("u", F.xxhash64("id", "path", "text"))
+    some = scratch(known.where(named))
+    lines = known.select("id", "u", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "unit"))
+    lines = scratch(lines.where(near(F.col("unit"), templates, threshold)))
     header = matched(lines, ["id", "u", "line"], templates, threshold)
     first = F.max(F.struct("similarity", (-F.col("line")).alias("l"), "license")).alias("b")
     header = header.groupBy("id", "u").agg(first).select("id", "u", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"), F.lit("header").alias("via"))
-    wholes = matched(some.where(named).select("id", "u", F.col("text").alias("unit")), ["id", "u"], templates, threshold).withColumn("via", F.lit("file"))
+    wholes = matched(some.select("id", "u", F.col("text").alias("unit")), ["id", "u"], templates, threshold).withColumn("via", F.lit("file"))
     found = header.unionByName(wholes)
-    files_of = some.where(named).select("u", "path").distinct().join(found, "u")
+    files_of = some.select("u", "path").distinct().join(found, "u")
     own = scratch(found.groupBy("id").agg(F.max(F.struct("similarity", "via", "license")).alias("b")).select("id", "b.*"))
 
     # the licence of each directory that has a licence file, and the nearest of those above each directory

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftmine.llm import decontaminate, licenses, packing, secrets, simple8b, tokens
 
@@ -255,3 +257,26 @@ def test_licenses(spark):
     got = sorted([(r["doc_id"] or 0, r["license"], r["via"]) for r in licenses.scan(df).collect()], key=str)
     assert got == sorted([(1, "Apache-2.0", "header"), (2, "GPL-3.0", "inherited"), (3, "GPL-3.0", "header"), (4, "MIT", "header"), (5, None, None), (6, None, None), (7, "Apache-2.0", "inherited"), (7, "Apache-2.0", "inherited"), (0, "GPL-3.0", "inherited"), (8, None, None), (9, "Proprietary", "header")], key=str)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_every_line_within_the_threshold_is_compared(spark):
+    idf, unknown, rows = licenses.weights(licenses.TEMPLATES)
+
+    def cosine(line):
+        bag = licenses.terms_of(line)
+        v = {w: bag.count(w) * idf.get(w, unknown) for w in set(bag)}
+        dots = {}
+        for k, _, w, x in rows:
+            dots[k] = dots.get(k, 0.0) + v.get(w, 0.0) * x
+        return max(dots.values()) / math.sqrt(sum(x * x for x in v.values())) if bag else 0.0
+
+    rng = random.Random(6)
+    lines = ["This Source Code Form is subject to the terms of the Mozilla Public", "Mit.", "", "--", "the " * 3000]
+    for _, t in licenses.TEMPLATES:
+        words = t.split()
+        for _ in range(6):
+            lines.append(" ".join([w for w in words if rng.random() < 0.8] + ["qux"] * rng.randint(0, 3) + [rng.choice(words)] * rng.randint(0, 40)))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("path", F.lit("x"))
+    got = {r["doc_id"]: r["similarity"] for r in licenses.scan(df).collect() if r["license"]}
+    assert got == {k: pytest.approx(cosine(x), abs=2e-6) for k, x in enumerate(lines) if round(cosine(x), 6) >= 0.6}
+    assert 0 in got and any(not any(m in lines[k].lower() for m in licenses.MARKERS) for k in list(got)[1:])
