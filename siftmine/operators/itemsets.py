@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmine.sources.scratch import settled
+
 
 def baskets(df: DataFrame, basket: str, item: str, larger_than: int | None = None) -> DataFrame:
     """Distinct (basket, item); only baskets of strictly more items than `larger_than`. Swap the columns for the other orientation."""
@@ -15,23 +17,28 @@ def baskets(df: DataFrame, basket: str, item: str, larger_than: int | None = Non
     return pairs.join(big, "basket", "left_semi")
 
 
-def frequent(pairs: DataFrame, support: int, most: int = 8) -> DataFrame:
-    """All itemsets in at least `support` baskets, by size: (items sorted, n).
+def frequent(pairs: DataFrame, support: int, most: int | None = None) -> DataFrame:
+    """All itemsets in at least `support` baskets, by size: (items sorted, n); those of up to `most` items if given.
 
-    Level by level: the frequent sets of one size in each basket are joined to the basket's larger frequent items, so
-    every basket yields each of its candidate sets once and counts are partial sums. Stops at the first empty level.
+    Level by level: two frequent sets of a basket that differ in their last items alone make one of the next size, so
+    every basket yields each of its candidate sets once and counts are partial sums. Levels from the third on start
+    from a table, which cuts their lineage. Stops at the first empty level.
     """
     singles = pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     kept = pairs.join(singles.select("item"), "item", "left_semi").cache()
     out = singles.select(F.array("item").alias("items"), "n")
-    level = kept.select("basket", F.array("item").alias("items"), F.col("item").alias("last"))
-    for _ in range(2, most + 1):
-        grown = level.join(kept, "basket").where(F.col("item") > F.col("last")).select("basket", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
-        counts = grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support).cache()
+    level = kept.select("basket", F.slice(F.array("item"), 1, 0).alias("head"), F.col("item").alias("last"))
+    size = 1
+    while most is None or size < most:
+        size += 1
+        more = level.select("basket", "head", F.col("last").alias("next"))
+        grown = level.join(more, ["basket", "head"]).where(F.col("next") > F.col("last")).select("basket", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last"))
+        counts = grown.groupBy("head", "last").agg(F.count("*").alias("n")).where(F.col("n") >= support).cache()
         if counts.isEmpty():
             break
-        out = out.unionByName(counts.select("items", "n"))
-        level = grown.join(counts.select("items"), "items", "left_semi")
+        out = out.unionByName(counts.select(F.concat("head", F.array("last")).alias("items"), "n"))
+        if size != most:
+            level = settled(grown.join(counts.select("head", "last"), ["head", "last"], "left_semi"))
     return out
 
 

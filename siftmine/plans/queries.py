@@ -50,15 +50,15 @@ def frequent_triples(spark, d) -> DataFrame:
 
 
 def frequent_large_baskets(spark, d) -> DataFrame:
-    return _sets(itemsets.frequent(itemsets.baskets(T.order_brands(spark, d), "l_orderkey", "p_brand", larger_than=5), 100, 2))
+    return _sets(itemsets.frequent(itemsets.baskets(T.order_brands(spark, d), "l_orderkey", "p_brand", larger_than=5), 100))
 
 
 def frequent_swapped(spark, d) -> DataFrame:
-    return _sets(itemsets.frequent(itemsets.baskets(T.ratings(spark, d), "i", "u"), 33, 2))
+    return _sets(itemsets.frequent(itemsets.baskets(T.ratings(spark, d), "i", "u"), 33))
 
 
 def frequent_fp_growth(spark, d) -> DataFrame:
-    return _sets(itemsets.fp_growth(itemsets.baskets(T.order_brands(spark, d), "l_orderkey", "p_brand"), 350)).where("size(split(items, '[|]')) <= 2")
+    return _sets(itemsets.fp_growth(itemsets.baskets(T.order_brands(spark, d), "l_orderkey", "p_brand"), 350))
 
 
 def son_frequent(spark, d) -> DataFrame:

@@ -117,6 +117,12 @@ def test_itemsets(spark):
     assert got(itemsets.frequent(itemsets.baskets(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "b int, i string"), "b", "i", larger_than=1), 1)) == {("a",): 1, ("b",): 1, ("a", "b"): 1}
 
 
+def test_itemsets_of_any_size(spark):
+    pairs = spark.createDataFrame([(b, i) for b in range(2) for i in range(9)], "basket int, item int")
+    got = {tuple(r["items"]): r["n"] for r in itemsets.frequent(pairs, 2).collect()}
+    assert got == {c: 2 for k in range(1, 10) for c in itertools.combinations(range(9), k)}
+
+
 def test_bloom_against_sequence(spark):
     rng = random.Random(3)
     stream = [(k, f"city{rng.randint(0, 90)}", k // 50) for k in range(300)]
