@@ -133,13 +133,14 @@ def _batch(names: list[str], out: list[list]) -> pa.RecordBatch:
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int = 2048, window: int = 64 * 2048, tokenizer: str | None = None, end_id: int = 1, least_share: float = 1e-4, with_ids: bool = True) -> DataFrame:
     """Pack docs(doc_id, text, source) into sequences of `length` tokens; returns their pieces.
 
-    targets: wanted share of each source (any positive scale; sources without one, and those with less than
-    least_share of all tokens, form the rest queue "*", served by its own entry or else when the others are done).
-    None: the corpus's own proportions, so that every window has them to the end. A window is `window` tokens.
+    targets: wanted share of each source (any positive scale; sources without one form the rest queue "*", served by
+    its own entry or else when the others are done). None: the corpus's own proportions, so that every window has them
+    to the end; sources with less than least_share of all tokens are one queue "*" there. A window is `window` tokens.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and ids (little-endian,
     four bytes each). Every id lies in exactly one piece, sequences are full but for the last, and null sources are
     a queue like any other. A null text is an end id alone; an empty table gives no piece; repeated rows are packed
-    as often as they come. Of the corpus the driver sees the totals of the queues alone, at most 1/least_share.
+    as often as they come. Of the corpus the driver sees the totals of the queues alone, at most
+    1/least_share or as many as targets.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -148,9 +149,12 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
     ids = scratch(plain.mapInArrow(lambda b: _tokenised(b, tokenizer, end_id), "doc_id long, source string, part int, before long, n long, width int, ids binary"))
     sizes = ids.groupBy("source", "part").agg(F.sum("n").alias("m"))
     total = sizes.agg(F.sum("m")).first()[0] or 0
-    own = {r["source"] for r in sizes.where("source is not null").groupBy("source").agg(F.sum("m").alias("m")).where(F.col("m") >= least_share * total).collect()} - {REST}
-    if targets is not None:
-        own &= {q for q, v in targets.items() if v > 0}
+    each = sizes.where("source is not null").groupBy("source").agg(F.sum("m").alias("m"))
+    if targets is not None:  # whatever their sizes
+        each = each.where(F.col("source").isin(sorted(q for q, v in targets.items() if v > 0)))
+    else:
+        each = each.where(F.col("m") >= least_share * total)
+    own = {r["source"] for r in each.collect()} - {REST}
     queue = F.when(F.col("source").isin(sorted(own)), F.concat(F.lit("="), "source")).otherwise(REST)
     order = W.partitionBy("queue").orderBy("source", "part").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("m").over(order), F.lit(0)))

@@ -280,3 +280,10 @@ def test_every_line_within_the_threshold_is_compared(spark):
     got = {r["doc_id"]: r["similarity"] for r in licenses.scan(df).collect() if r["license"]}
     assert got == {k: pytest.approx(cosine(x), abs=2e-6) for k, x in enumerate(lines) if round(cosine(x), 6) >= 0.6}
     assert 0 in got and any(not any(m in lines[k].lower() for m in licenses.MARKERS) for k in list(got)[1:])
+
+
+def test_a_small_source_with_a_target_keeps_its_share(spark):
+    rows = [(k, "word " * 20000, "big") for k in range(4)] + [(9, "one two", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, targets={"big": 0.5, "small": 0.5}, length=64, window=64, least_share=0.01, with_ids=False).collect()
+    assert {r["sequence_id"] for r in got if r["source"] == "small"} == {0}
