@@ -2,21 +2,26 @@
 
 A document is the set of hashes of its word shingles; documents with equal sets are one point. The hashes are dealt
 into groups, and the counts of the groups are the point's coordinates: the overlap of two sets is at most the sum of
-the smaller coordinate in each group, and for a box of points at most the sum with the box's upper corner.
+the smaller coordinate in each group, and for a box of points at most the sum with the box's upper corner. R-trees
+over the points of a district yield all pairs that the bound can't exclude, and what they yield is compared in full.
 
 Count vectors alone can't part long sets at a threshold of 0.8, where the radius is wider than the spread of
-unrelated points, so points are first brought into cells that no linked pair can avoid: of each set the first
-n - ceil(t n) + 1 hashes, in an order that is the same everywhere and puts widely shared hashes last. Linked sets
-share one of those. Each run of neighbouring sizes in a cell has a leader, its smallest point, and all runs of one
-leader are a district: linked points share a district, and a point is in few, though it is in many cells. Every point
-is first compared with the leaders that it shares most cells with, so that a large class of near copies is one
-component early, and districts of one component are done. In each of the others an R-tree over the count vectors
-yields the pairs that the bound can't exclude, and those are compared in full.
+unrelated points, so an exact rule deals the points into districts, and every district is joined through trees. Of
+each set the first n - ceil(t n) + 1 hashes count, in an order that is the same everywhere and puts widely shared
+hashes last: linked sets share one of those. Each run of neighbouring sizes that shares such a hash has a leader, its
+smallest point, and all runs of one leader are a district. For widely shared hashes the leader by size is known from
+the first pass over the texts, so that no task has to gather all points of such a hash.
+
+Trees are joined twice. In chunks of bounded size, the strongest bounds first, pairs are kept that join what the
+chunk's pairs so far don't: a forest, with fewer pairs than points, that makes one component of a large class of near
+copies. Then every district that still holds several components is joined in full, but for pairs within a component.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,14 @@ from .common import components, discard, kept, scratch, ship
 
 # odd multipliers, one for each place in a shingle; any would do
 MULTIPLIERS = [np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % i) | 1) for i in range(64)]
-COARSE = 64  # coordinates of the count vector that leaders are compared by
+COARSE = 64  # coordinates of the shortest count vectors
 TREE = 1024  # and at most of those in a tree
 FINEST = 1 << 16  # twice as many as a set has hashes, up to this, for the last bound
 LEAF = 16
 CHUNK = 1024  # points of a district that are joined at once
-LEADERS = 3
+FEW = 1_000_000  # rows of two numbers that may be sent to every task
+SALT = 256  # partners of a set for each copy of it
+NONE = np.iinfo(np.int64).max
 
 
 class WordHashes(dict):
@@ -73,16 +80,21 @@ def word_hashes() -> WordHashes:
     return kept("word hashes", WordHashes)
 
 
-def identity(s: np.ndarray) -> tuple[int, int]:
-    """A 128-bit name of a set, as two signed numbers."""
+def identity(s: np.ndarray, narrow: int = 64) -> tuple[int, int]:
+    """A 128-bit name of a set, as two signed numbers, of which the first may be narrower."""
     d = xxhash.xxh3_128_intdigest(s.tobytes())
-    return tuple(int(np.uint64(x).astype(np.int64)) for x in (d & 0xFFFFFFFFFFFFFFFF, d >> 64))
+    return tuple(int(np.uint64(x).astype(np.int64)) for x in (d & ((1 << narrow) - 1), d >> 64))
+
+
+def size_class(n, t: int):
+    """Linked sizes differ by one class at most."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / t * 1.01 if t < 100 else 1.01)).astype(np.int64)
 
 
 def count_vector(s: np.ndarray, groups: int) -> bytes:
-    """The counts of a power of two of groups: the width of a count, then the counts."""
+    """The counts of a power of two of groups, packed: the width of a count, then the counts."""
     v = np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
-    return b"\1" + v.astype("u1").tobytes() if v.max(initial=0) < 256 else b"\4" + v.astype("<u4").tobytes()
+    return zlib.compress(b"\1" + v.astype("u1").tobytes() if v.max(initial=0) < 256 else b"\4" + v.astype("<u4").tobytes(), 1)
 
 
 def fine_groups(n: int) -> int:
@@ -90,6 +102,7 @@ def fine_groups(n: int) -> int:
 
 
 def vector(raw: bytes) -> np.ndarray:
+    raw = zlib.decompress(raw)
     return np.frombuffer(raw, "u1" if raw[0] == 1 else "<u4", offset=1)
 
 
@@ -130,24 +143,67 @@ class RTree:
         return self.order[nodes[ok]]
 
 
-def cell_pairs(sizes: np.ndarray, vectors: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, t: int) -> list[tuple[int, int]]:
-    """Pairs of a point of left and one of right, of different components, that the bounds can't exclude."""
-    groups = min(TREE, *(len(v) for v in vectors))
-    flat = np.stack([fold(v, groups) for v in vectors])
-    if flat.max() < 256:
-        flat = flat.astype("u1")
-    out = []
-    tree = RTree(sizes[right], flat[right]) if len(right) > LEAF else None
+class District:
+    """Points of a district, or two chunks of it, with trees over some of them."""
+
+    def __init__(self, sizes: np.ndarray, vectors: list[np.ndarray], t: int):
+        self.sizes, self.vectors, self.t = sizes, vectors, t
+        self.groups = min(TREE, *(len(v) for v in vectors))
+        flat = np.stack([fold(v, self.groups) for v in vectors])
+        self.flat = flat.astype("u1") if flat.max() < 256 else flat
+
+    def tree(self, some: np.ndarray) -> RTree:
+        return RTree(self.sizes[some], self.flat[some])
+
+    def near(self, tree: RTree, some: np.ndarray, i: int) -> np.ndarray:
+        """Points of the tree over `some` that its bound can't exclude for point i."""
+        return some[tree.within(int(self.sizes[i]), self.flat[i], self.t)]
+
+    def allowed(self, i: int, j: int) -> bool:
+        """Whether the bound over the finest common groups allows a link."""
+        return len(self.vectors[i]) == len(self.vectors[j]) == self.groups or bounded(int(self.sizes[i]), self.vectors[i], int(self.sizes[j]), self.vectors[j], self.t)
+
+
+def forest(d: District) -> list[tuple[int, int]]:
+    """Pairs that the trees yield and that join what stronger pairs don't: at most one fewer than points."""
+    everyone = np.arange(len(d.sizes))
+    tree = d.tree(everyone)
+    left, right, strength = [], [], []
+    for i in everyone:
+        near = d.near(tree, everyone, i)
+        near = near[near > i]
+        if len(near):
+            most = np.minimum(d.flat[near], d.flat[i]).sum(1, dtype=np.int64)
+            left.append(np.full(len(near), i))
+            right.append(near)
+            strength.append(most / (d.sizes[near] + d.sizes[i] - most))
+    if not left:
+        return []
+    left, right, strength = (np.concatenate(x) for x in (left, right, strength))
+    root, out = list(everyone), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k in np.argsort(-strength, kind="stable"):
+        i, j = int(left[k]), int(right[k])
+        a, b = find(i), find(j)
+        if a != b and d.allowed(i, j):
+            root[b] = a
+            out.append((i, j))
+            if len(out) == len(root) - 1:
+                break
+    return out
+
+
+def across(d: District, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs of a point of left and one of right, of different components, that the bounds can't exclude."""
+    tree, out = d.tree(right), []
     for i in left:
-        if tree is not None:
-            near = right[tree.within(int(sizes[i]), flat[i], t)]
-        else:
-            near = right[(100 * np.minimum(sizes[right], sizes[i]) >= t * np.maximum(sizes[right], sizes[i])) & (comp[right] != comp[i])]
-            if len(near):
-                near = near[np.minimum(flat[near], flat[i]).sum(1, dtype=np.int64) >= needed(sizes[i], sizes[near], t)]
-        for j in near[comp[near] != comp[i]]:
-            if len(vectors[i]) == groups or bounded(int(sizes[i]), vectors[i], int(sizes[j]), vectors[j], t):
-                out.append((int(i), int(j)))
+        near = d.near(tree, right, i)
+        out += [(int(i), int(j)) for j in near[comp[near] != comp[i]] if d.allowed(i, j)]
     return out
 
 
@@ -157,65 +213,108 @@ def bounded(n: int, a: np.ndarray, m: int, b: np.ndarray, t: int) -> bool:
     return 100 * min(n, m) >= t * max(n, m) and int(np.minimum(fold(a, g), fold(b, g)).sum(dtype=np.int64)) >= needed(n, m, t)
 
 
-def _points(batches: Iterator[pa.RecordBatch], k: int, chunk: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """A row for each document: id, n, identity, count vector. Rows without a count vector tell of widely shared hashes: the hash and how many sets of some have it."""
+def _points(batches: Iterator[pa.RecordBatch], k: int, t: int, narrow: int, chunk: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """A row for each document: id, place, n, name (h1, h2), count vector. Rows without a count vector tell of widely
+    shared hashes: hash (h1), size class (place), in how many of some sets of that class (n), and the least of them (h2)."""
     words, seen, held, size = word_hashes(), set(), [], 0
-    names = ["doc_id", "n", "h1", "h2", "v", "w"]
+    names = ["doc_id", "place", "n", "h1", "h2", "w"]
 
     def shared() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        h, c = h[c >= 3], c[c >= 3]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(c, pa.int64()), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=names)
+        sets = [x[0] for x in held]
+        sizes = np.array([len(x) for x in sets])
+        h = np.concatenate(sets)
+        order = np.argsort(h)
+        h = h[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        often = np.repeat(np.diff(np.append(new, len(h))) >= 3, np.diff(np.append(new, len(h))))
+        h, of = h[often].view(np.int64), np.repeat(np.arange(len(sets)), sizes)[order[often]]
+        name, c = np.array([x[1] for x in held], np.int64)[of], size_class(sizes, t)[of]
+        order = np.lexsort((name, c, h))
+        h, c, name = h[order], c[order], name[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(new, len(h)))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), pa.array(c[new]), pa.array(counts, pa.int64()), pa.array(h[new]), pa.array(name[new]), pa.nulls(len(new), pa.binary())], names=names)
 
     for b in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for text in b.column(1).to_pylist():
+        rows: list[list] = [[], [], [], []]
+        for text in b.column(2).to_pylist():
             s = words.shingles(text, k)
-            name = identity(s)
-            for col, x in zip(rows, (len(s), *name, count_vector(s, COARSE), count_vector(s, fine_groups(len(s))))):
+            name = identity(s, narrow)
+            for col, x in zip(rows, (len(s), *name, count_vector(s, fine_groups(len(s))))):
                 col.append(x)
             if len(s) and name not in seen:
                 seen.add(name)
-                held.append(s)
+                held.append((s, name[0]))
                 size += len(s)
                 if size >= chunk:
                     yield shared()
                     held, size = [], 0
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in rows[:3]], *[pa.array(c, pa.binary()) for c in rows[3:]]], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in rows[:3]], pa.array(rows[3], pa.binary())], names=names)
     if held:
         yield shared()
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int, t: int, common) -> Iterator[pa.RecordBatch]:
-    """(key, h1, n): the hashes of each set that a linked set must share one of."""
+@dataclass
+class Common:
+    """What all tasks know of widely shared hashes, and which halves of names are not names."""
+
+    hot: np.ndarray  # sorted
+    count: np.ndarray
+    codes: np.ndarray  # place in hot * 256 + size class, sorted
+    least: np.ndarray  # the least point of that class
+    clash: frozenset
+
+    def leaders(self, at: np.ndarray, c: int) -> np.ndarray:
+        """Leaders of sets of class c that have the hashes at those places: of classes (c - 1, c) and (c, c + 1)."""
+        of = []
+        for k in (c - 1, c, c + 1):
+            x = at * 256 + k
+            i = np.minimum(np.searchsorted(self.codes, x), len(self.codes) - 1)
+            of.append(np.where(self.codes[i] == x, self.least[i], NONE))
+        both = np.stack([np.minimum(of[0], of[1]), np.minimum(of[1], of[2])])
+        return np.unique(np.where(both == NONE, self.hot[at].view(np.int64), both))
+
+    def name(self, s: np.ndarray, narrow: int) -> int:
+        h1, h2 = identity(s, narrow)
+        return h2 if h1 in self.clash else h1
+
+
+def _keys(batches: Iterator[pa.RecordBatch], k: int, t: int, narrow: int, shared) -> Iterator[pa.RecordBatch]:
+    """(key, salt, name, n): the hashes of each set that a linked set must share one of, with salt 0; for widely
+    shared ones their leaders, with a salt of the set's own."""
     words, seen = word_hashes(), set()
-    hot, rank = common.value
+    known: Common = shared.value
     for b in batches:
-        keys, names, sizes, counts = [], [], [], []
+        keys, salts, names, sizes, counts = [], [], [], [], []
         for text in b.column(0).to_pylist():
             s = words.shingles(text, k)
-            name = identity(s)
+            name = known.name(s, narrow)
             if not len(s) or name in seen:
                 continue
             seen.add(name)
             p = len(s) - -(-t * len(s) // 100) + 1
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                worth = np.where(hot[at] == s, rank[at], 0)
-                s = s[np.argsort(worth, kind="stable")]
-            keys.append(s[:p])
-            names.append(name[0])
-            sizes.append(p)
+            lead = np.zeros(0, np.int64)
+            first = s[:p]
+            if len(known.hot):
+                at = np.minimum(np.searchsorted(known.hot, s), len(known.hot) - 1)
+                hit = known.hot[at] == s
+                first = np.argsort(np.where(hit, known.count[at], 0), kind="stable")[:p]
+                lead = known.leaders(at[first[hit[first]]], int(size_class(len(s), t))) if hit[first].any() else lead
+                first = s[first[~hit[first]]]
+            keys += [first.view(np.int64), lead]
+            salts += [np.zeros(len(first), np.int64), np.full(len(lead), name | 1)]
+            names.append(name)
+            sizes.append(len(first) + len(lead))
             counts.append(len(s))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.repeat(np.array(c, np.int64), sizes)) for c in (names, counts)]], names=["key", "h1", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(salts)), *[pa.array(np.repeat(np.array(c, np.int64), sizes)) for c in (names, counts)]], names=["key", "salt", "name", "n"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    words = word_hashes()
+def _sets(batches: Iterator[pa.RecordBatch], k: int, narrow: int, shared) -> Iterator[pa.RecordBatch]:
+    words, known = word_hashes(), shared.value
     for b in batches:
         sets = [words.shingles(t, k) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([identity(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array([known.name(s, narrow) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "s"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
@@ -230,130 +329,210 @@ def _compared(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
 
 
-def _allowed(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, va, nb, vb) that the bound doesn't exclude."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of each group, of rows sorted by their first columns."""
+    now, held = None, []
     for b in batches:
-        ok = [bounded(n, vector(v), m, vector(w), t) for n, v, m, w in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
-        yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], names=["a", "b"])
-
-
-def _tree_pairs(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by district and chunks (leader, l, r): the pairs of each."""
-    held: list[tuple] = []
-    cell = None
-    out: list[tuple[int, int]] = []
-
-    def joined() -> None:
-        if len(held) < 2 or len({x[2] for x in held}) < 2:
-            return
-        ids, sizes, comp = (np.array([x[i] for x in held], dtype=np.int64) for i in range(3))
-        vectors = [vector(x[3]) for x in held]
-        side = np.array([x[4] for x in held])
-        left = np.flatnonzero(side == 0)
-        right = left if cell[1] == cell[2] else np.flatnonzero(side == 1)
-        for i, j in cell_pairs(sizes, vectors, comp, left, right, t):
-            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:keys] != now:
+                if held:
+                    yield now, held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, held
+
+
+def _pair_batches(pairs: Iterator[tuple[int, int]], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    out: set[tuple[int, int]] = set()
 
     def batch() -> pa.RecordBatch:
-        pairs = sorted(set(out))
+        rows = sorted(out)
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in pairs], pa.int64()) for i in range(2)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in rows], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    for b in batches:
-        for key, l, r, *row in zip(*(c.to_pylist() for c in b.columns)):
-            if (key, l, r) != cell:
-                if cell is not None:
-                    joined()
-                cell, held[:] = (key, l, r), []
-            held.append(row)
-        if len(out) > 50_000:
+    for a, b in pairs:
+        out.add((min(a, b), max(a, b)))
+        if len(out) >= most:
             yield batch()
-    if cell is not None:
-        joined()
     if out:
         yield batch()
 
 
-def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: str = "doc_id", text: str = "text", hot_rows: int = 65_536) -> DataFrame:
+def _forests(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (leader, chunk, name, n, w) the forest of each chunk."""
+
+    def pairs() -> Iterator[tuple[int, int]]:
+        for _, rows in _groups(batches, 2):
+            rows = list({r[0]: r for r in rows}.values())
+            if len(rows) > 1:
+                d = District(np.array([r[1] for r in rows], np.int64), [vector(r[2]) for r in rows], t)
+                yield from ((rows[i][0], rows[j][0]) for i, j in forest(d))
+
+    return _pair_batches(pairs())
+
+
+def _rest(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (leader, l, r, name, n, comp, side, w) the pairs of each two chunks; side 2 is on both."""
+
+    def pairs() -> Iterator[tuple[int, int]]:
+        for _, rows in _groups(batches, 3):
+            comp, side = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            if len(left) and len(right) and len(set(comp)) > 1:
+                d = District(np.array([r[1] for r in rows], np.int64), [vector(r[4]) for r in rows], t)
+                yield from ((rows[i][0], rows[j][0]) for i, j in across(d, comp, left, right))
+
+    return _pair_batches(pairs())
+
+
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A scratch table that goes to every task if it has few rows, and is joined by shuffles otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def salted(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """pairs with the set of one side; a set of many partners is copied, so that they needn't meet in one task."""
+    many = scratch(pairs.groupBy(side).agg(F.count("*").alias("m")).where(F.col("m") > SALT).select(F.col(side).alias("name"), F.ceil(F.col("m") / SALT).cast("int").alias("of")))
+    few = small(many)
+    salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("of", F.lit(1))).cast("int")
+    left = pairs.join(few.withColumnRenamed("name", side), side, "left").withColumn("salt", salt).drop("of")
+    copies = sets.join(few, "name", "left").select(F.col("name").alias(side), F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1)).alias("salt"), F.col("s").alias(f"s{side}"))
+    return left.join(copies, [side, "salt"]).drop("salt")
+
+
+class Join:
+    """The steps of the join over one table of texts (doc_id, place, text)."""
+
+    def __init__(self, base: DataFrame, t: int, k: int, hot_rows: int, narrow: int):
+        self.base, self.t, self.k, self.narrow = base, t, k, narrow
+        spark = base.sparkSession
+        self.facts = scratch(base.mapInArrow(lambda b: _points(b, k, t, narrow), "doc_id long, place long, n long, h1 long, h2 long, w binary"))
+        rows = self.facts.where("w is not null")
+        self.rows, self.points = rows.withColumn("name", F.col("h1")), None
+        self.points = self._points_of(self.rows)
+        clash = [r["name"] for r in self.points.where("lo1 <> hi1 or lo2 <> hi2").select("name").collect()]  # 64 bits of different sets agree next to never
+        if clash:
+            discard(self.points)
+            self.rows = rows.withColumn("name", F.when(F.col("h1").isin(clash), F.col("h2")).otherwise(F.col("h1")))
+            self.points = self._points_of(self.rows)
+            if not self.points.where("lo1 <> hi1 or lo2 <> hi2").isEmpty():
+                raise RuntimeError("names of different sets agree")
+        hot = self.facts.where("w is null").groupBy("h1", "place").agg(F.sum("n").alias("n"), F.min("h2").alias("least"))
+        hot = hot.groupBy("h1").agg(F.sum("n").alias("n"), F.collect_list(F.struct("place", "least")).alias("by")).orderBy(F.desc("n"), "h1").limit(hot_rows).collect()
+        hot.sort(key=lambda r: r["h1"] % (1 << 64))
+        codes = np.array([i * 256 + x["place"] for i, r in enumerate(hot) for x in r["by"]], np.int64)
+        least = np.array([x["least"] for r in hot for x in r["by"]], np.int64)
+        order = np.argsort(codes)
+        self.known = spark.sparkContext.broadcast(Common(np.array([r["h1"] for r in hot], np.int64).view(np.uint64), np.array([r["n"] for r in hot], np.int64), codes[order], least[order], frozenset(clash)))
+
+    def _points_of(self, rows: DataFrame) -> DataFrame:
+        """A row for each set; its least and greatest halves differ where different sets have one name."""
+        return scratch(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"), F.first("n").alias("n"), F.first("w").alias("w"), *[f(h).alias(f"{k}{h[1]}") for k, f in (("lo", F.min), ("hi", F.max)) for h in ("h1", "h2")]))
+
+    def districts(self) -> DataFrame:
+        """(leader, name): linked sets share a district."""
+        k, t, narrow, known = self.k, self.t, self.narrow, self.known
+        keyed = self.base.select("text").mapInArrow(lambda b: _keys(b, k, t, narrow, known), "key long, salt long, name long, n long")
+        at = W.partitionBy("key", "salt")
+        by_size = at.orderBy("n", "name")
+        once = keyed.withColumn("same", F.lag("name").over(by_size)).where("same is null or same <> name")  # equal sets of several tasks
+        once = once.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+        starts = F.col("less").isNull() | (100 * F.col("less") < t * F.col("n"))
+        alone = starts & (F.col("more").isNull() | (100 * F.col("n") < t * F.col("more")))
+        runs = once.where((F.col("salt") != 0) | ~alone).withColumn("run", F.sum(starts.cast("int")).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
+        leader = F.when(F.col("salt") != 0, F.col("key")).otherwise(F.min("name").over(W.partitionBy("key", "salt", "run")))
+        return scratch(runs.select(leader.alias("leader"), "name").distinct())
+
+    def chunked(self, led: DataFrame) -> DataFrame:
+        """(leader, chunk, name): large districts in chunks, each with the leader."""
+        large = scratch(led.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select("leader", F.ceil(F.col("m") / CHUNK).cast("int").alias("of")))
+        dealt = led.join(small(large), "leader", "left").select("leader", F.pmod(F.xxhash64("name"), F.coalesce("of", F.lit(1))).cast("int").alias("chunk"), "name")
+        return dealt.unionByName(large.select("leader", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("chunk"), F.col("leader").alias("name")))
+
+    def forests(self, led: DataFrame) -> DataFrame:
+        t = self.t
+        rows = self.chunked(led).join(self.points.select("name", "n", "w"), "name").select("leader", "chunk", "name", "n", "w")
+        return scratch(rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk").mapInArrow(lambda b: _forests(b, t), "a long, b long").distinct())
+
+    def rest(self, led: DataFrame, early: DataFrame, first: DataFrame) -> DataFrame:
+        """Pairs of different components in districts that hold several, without those compared before. The largest
+        component of a district meets the others, and those meet one another, in chunks."""
+        t = self.t
+        known = scratch(led.join(early.withColumnRenamed("node", "name"), "name", "left").select("leader", "name", F.coalesce("component", "name").alias("comp")))
+        per = known.groupBy("leader", "comp").agg(F.count("*").alias("m"))
+        per = per.groupBy("leader").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+        chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+        spread = scratch(per.select("leader", F.col("top.comp").alias("top"), chunks(F.col("top.m")).alias("of_top"), chunks(F.col("all") - F.col("top.m")).alias("of_rest")))
+        rows = known.join(small(spread), "leader")
+        is_top = F.col("comp") == F.col("top")
+        rows = rows.withColumn("c", F.pmod(F.xxhash64("name"), F.when(is_top, F.col("of_top")).otherwise(F.col("of_rest"))).cast("int"))
+        # chunks of the largest component are numbered from -1 down
+        meet = lambda l, r, side: F.struct(l.alias("l"), r.alias("r"), side.alias("side"))
+        others = F.sequence(F.lit(0), F.col("of_rest") - 1)
+        top = F.transform(others, lambda r: meet(-F.col("c") - 1, r, F.lit(0)))
+        with_top = F.transform(F.sequence(F.lit(1), F.col("of_top")), lambda l: meet(-l, F.col("c"), F.lit(1)))
+        own = F.transform(others, lambda o: meet(F.least(o, F.col("c")), F.greatest(o, F.col("c")), F.when(o == F.col("c"), 2).when(F.col("c") < o, 0).otherwise(1)))
+        dealt = rows.select("leader", "name", "comp", F.explode(F.when(is_top, top).otherwise(F.concat(with_top, own))).alias("at"))
+        dealt = dealt.join(self.points.select("name", "n", "w"), "name").select("leader", "at.l", "at.r", "name", "n", "comp", "at.side", "w")
+        found = dealt.repartition("leader", "l", "r").sortWithinPartitions("leader", "l", "r").mapInArrow(lambda b: _rest(b, t), "a long, b long")
+        out = scratch(found.distinct().join(first, ["a", "b"], "left_anti"))
+        discard(known, spread)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Linked pairs among (a, b), by the sets of their texts."""
+        t, k, narrow, known = self.t, self.k, self.narrow, self.known
+        wanted = scratch(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
+        texts = scratch(self.points.join(wanted, "name").select("place").distinct())
+        bucket = F.pmod("place", F.lit(1 << 20))
+        some = texts.select(bucket.alias("bucket")).distinct()  # at most 2^20 rows of one number
+        near = self.base.select("place", "text").withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi")
+        sets = near.join(texts, "place", "left_semi").select("text").mapInArrow(lambda b: _sets(b, k, narrow, known), "name long, s binary")
+        sets = scratch(sets.join(wanted, "name", "left_semi").dropDuplicates(["name"]), "lz4")
+        both = salted(salted(pairs, sets, "b"), sets, "a")
+        out = scratch(both.select("a", "b", "sa", "sb").mapInArrow(lambda x: _compared(x, t), "a long, b long"))
+        discard(sets, texts, wanted)
+        return out
+
+
+def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: str = "doc_id", text: str = "text", hot_rows: int = 65_536, name_bits: int = 64) -> DataFrame:
     """Classes of documents whose sets of word shingles link, 100 * intersection >= threshold * union: id, n_shingles,
-    component_id (the smallest id reachable, its own included) and h1, the name of the set; a row for each row.
+    component_id (the smallest id reachable, its own included), place (a hash of the text) and name (of the set; of
+    the class as `class`); a row for each row.
 
     ASCII letters are folded, and words part at ASCII white space. Texts with fewer words are one shingle. Null and
-    empty texts have no shingle and link with nothing; a row without an id keeps its n_shingles and has no
-    class. Equal ids with different texts are different points, and the class of
-    either is reported by row. Every linked pair is found: the order of the hashes, the leaders and the list of
-    `hot_rows` widely shared hashes bear on cost alone.
+    empty texts have no shingle and link with nothing. Rows without an id take part in links like any other; a class
+    without any id has none. Equal ids with different texts are different points, and the class of either is reported
+    by row. Texts of any length are one set in one task's memory. Further columns are left alone; an empty table gives
+    no rows. Every linked pair is found, at the threshold too: the order of the hashes, the leaders and the list of
+    `hot_rows` widely shared hashes bear on cost alone. Sets are named by 64 bits of a hash of 128, and by the other
+    half where those of different sets agree (name_bits: narrower halves, for tests).
     """
     spark = docs.sparkSession
     ship(spark)
-    t, k = threshold, words
-    base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    facts = scratch(base.mapInArrow(lambda b: _points(b, k), "doc_id long, n long, h1 long, h2 long, v binary, w binary"))
-    rows = facts.where("v is not null")
-    hot = facts.where("v is null").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(hot_rows).collect()
-    order = np.argsort(np.array([r["h1"] for r in hot], np.int64).view(np.uint64))
-    common = spark.sparkContext.broadcast((np.array([r["h1"] for r in hot], np.int64).view(np.uint64)[order], np.array([r["n"] for r in hot], np.int64)[order]))
-    points = scratch(rows.where("n > 0").groupBy("h1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("w").alias("w")))
-
-    keyed = base.select("text").mapInArrow(lambda b: _keys(b, k, t, common), "key long, h1 long, n long")
-    by_size = W.partitionBy("key").orderBy("n", "h1")
-    once = keyed.withColumn("same", F.lag("h1").over(by_size)).where("same is null or same <> h1")  # equal sets of several tasks
-    once = once.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
-    starts = F.col("less").isNull() | (100 * F.col("less") < t * F.col("n"))
-    runs = once.where(~starts | (100 * F.col("n") >= t * F.col("more"))).withColumn("run", F.sum(starts.cast("int")).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.withColumn("leader", F.min("h1").over(W.partitionBy("key", "run")))
-    led = scratch(runs.where("h1 <> leader").groupBy("leader", "h1").agg(F.count("*").alias("m")))
-    sized = points.select("h1", "n", "v")
-
-    def with_sizes(pairs: DataFrame) -> DataFrame:
-        left = sized.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
-        right = sized.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "va", "nb", "vb")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Linked pairs among (a, b), by the sets of their texts."""
-        wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-        texts = scratch(points.join(wanted, "h1").select(F.col("rep").alias("doc_id")).distinct())
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-        some = texts.select(bucket.alias("bucket")).distinct()  # at most 2^20 rows of one number
-        near = base.where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
-        sets = near.join(texts, "doc_id", "left_semi").select("text").mapInArrow(lambda b: _sets(b, k), "h1 long, s binary")
-        sets = scratch(sets.join(wanted, "h1", "left_semi").dropDuplicates(["h1"]), "lz4")
-        first = pairs.join(sets.select(F.col("h1").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("h1").alias("a"), F.col("s").alias("sa")), "a")
-        out = scratch(first.select("a", "b", "sa", "sb").mapInArrow(lambda x: _compared(x, t), "a long, b long"))
-        discard(sets, texts)
-        return out
-
-    # a few leaders for each point, whatever the size of its class
-    best = led.withColumn("r", F.row_number().over(W.partitionBy("h1").orderBy(F.desc("m"), "leader"))).where(F.col("r") <= LEADERS)
-    best = best.select(F.col("leader").alias("a"), F.col("h1").alias("b"))
-    first = scratch(with_sizes(best).mapInArrow(lambda x: _allowed(x, t), "a long, b long"))
-    links = verified(first)
+    text = F.col(text).cast("string")
+    base = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text"))
+    join = Join(base, threshold, words, hot_rows, name_bits)
+    led = join.districts()
+    first = join.forests(led)
+    links = join.verified(first)
     early = scratch(components(links))
-
-    # districts that still hold more than one component, in chunks that meet in pairs
-    members = led.select("leader", "h1").unionByName(led.select("leader", F.col("leader").alias("h1")).distinct())
-    known = scratch(members.join(early.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("component", "h1")).select("leader", "h1", "comp"))
-    spread = known.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("leader", F.ceil(F.col("m") / CHUNK).cast("int").alias("of"))
-    chunked = known.join(spread, "leader").withColumn("chunk", F.pmod(F.xxhash64("h1"), "of").cast("int"))
-    other = F.sequence(F.lit(0), F.col("of") - 1)
-    dealt = chunked.withColumn("o", F.explode(other)).select("leader", F.least("chunk", "o").alias("l"), F.greatest("chunk", "o").alias("r"), "h1", "comp", F.when(F.col("chunk") <= F.col("o"), 0).otherwise(1).alias("side"))
-    dealt = dealt.join(points.select("h1", "n", "w"), "h1").select("leader", "l", "r", "h1", "n", "comp", "w", "side")
-    grouped = dealt.repartition("leader", "l", "r").sortWithinPartitions("leader", "l", "r")
-    found = grouped.mapInArrow(lambda b: _tree_pairs(b, t), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch(found)
-    late = verified(second)
+    second = join.rest(led, early, first)
+    late = join.verified(second)
     classes = components(links.unionByName(late))
-    named = points.select("h1", "rep").join(classes.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "rep", F.coalesce("component", "h1").alias("c"))
-    smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    per_set = scratch(named.join(smallest, "c").select("h1", "component_id"))
-    discard(points, led, known, first, links, early, second, late)
-    full = rows.join(per_set, "h1", "left")
-    mine = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return full.select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), mine.alias("component_id"), "h1")
+    named = join.points.select("name", "rep").join(classes.withColumnRenamed("node", "name"), "name", "left").select("name", "rep", F.coalesce("component", "name").alias("class"))
+    smallest = named.groupBy("class").agg(F.min("rep").alias("component_id"))
+    per_set = scratch(named.join(smallest, "class").select("name", "class", "component_id"))
+    discard(join.points, led, first, links, early, second, late)
+    full = join.rows.where("n > 0").join(per_set, "name").select("doc_id", "n", "component_id", "place", "name", "class")
+    none = F.lit(None).cast("long")
+    empty = join.rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "place", none.alias("name"), none.alias("class"))
+    return full.unionByName(empty).select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), "component_id", "place", "name", "class")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
     from .common import table
 
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("h1")
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("place", "name", "class")

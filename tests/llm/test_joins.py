@@ -56,7 +56,7 @@ def brute(docs, t=80):
         d = docs[k][0]
         if d is not None:
             least[u.find(k)] = min(d, least.get(u.find(k), d))
-    return sorted(((d, len(sets[k]), None if d is None else d if not sets[k] else least[u.find(k)]) for k, (d, _) in enumerate(docs)), key=str)
+    return sorted(((d, len(sets[k]), d if not sets[k] else least.get(u.find(k))) for k, (d, _) in enumerate(docs)), key=str)
 
 
 def corpus(seed):
@@ -78,7 +78,7 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard(spark, seed, monkeypatch):
+def test_jaccard(spark, seed):
     docs = corpus(seed)
     docs += [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "One two"), (9005, "one TWO"), (9006, "É one"), (9007, "é one"), (None, docs[40][1]), (9008, docs[0][1]), (9008, docs[0][1]), (9009, "a b c d e f"), (9010, "x " * 30000)]
     df = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], "doc_id long, text string, n long, h1 long, key long").repartition(4)
@@ -105,8 +105,43 @@ def test_chunked_cells_give_the_same(spark, monkeypatch):
     docs = corpus(5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     monkeypatch.setattr(jaccard, "CHUNK", 3)
-    monkeypatch.setattr(jaccard, "LEADERS", 0)  # all links by trees
-    assert sorted((tuple(r)[:3] for r in jaccard.jaccard_classes(df).collect()), key=str) == brute(docs)
+    monkeypatch.setattr(jaccard, "SALT", 2)
+    monkeypatch.setattr(jaccard, "small", lambda t, most=0: t)  # joined by shuffles
+    assert sorted((tuple(r)[:3] for r in jaccard.jaccard_classes(df, name_bits=3).collect()), key=str) == brute(docs)  # and names that agree
+
+
+def test_links_through_documents_without_an_id(spark):
+    """A and B link with N, not with each other."""
+    w = [f"w{i}" for i in range(60)]
+    a, n, b = ["x"] * 10 + w, list(w), w + ["y"] * 10
+    docs = [(5, " ".join(a)), (None, " ".join(n)), (3, " ".join(b)), (None, " ".join(n)), (None, "alone " * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((tuple(r)[:3] for r in jaccard.jaccard_classes(df).collect()), key=str)
+    assert got == brute(docs) and [r[2] for r in got if r[0] is not None] == [3, 3]
+    less = [d for d in docs if d[0] is not None]
+    assert {r[2] for r in brute(less)} == {3, 5}
+
+
+@pytest.mark.parametrize("hot_rows", [0, 65_536])
+def test_a_large_class_over_widely_shared_hashes(spark, monkeypatch, hot_rows):
+    """Near copies of one text, in chunks, with and without leaders known beforehand."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    docs = []
+    for n in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"v{n}"
+        docs.append((n, " ".join(w)))
+    monkeypatch.setattr(jaccard, "CHUNK", 20)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r)[:3] for r in jaccard.jaccard_classes(df, hot_rows=hot_rows).collect()), key=str) == brute(docs)
+
+
+def test_size_classes():
+    for t in (50, 80, 95):
+        n = np.arange(1, 5000)
+        assert (jaccard.size_class(n * 100 // t, t) - jaccard.size_class(n, t) <= 1).all()
 
 
 # --- vectors
