@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .embeddings import op3_embedding_range_join
+from .embeddings import oracle as op3_sql
 from .jaccard import op9_jaccard_join
+from .jaccard import oracle as op9_sql
 from .language import op2_language_mixture
 from .licenses import op6_license_scan
 from .licenses import oracle as op6_sql
@@ -27,4 +29,4 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": op6_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_range_join": op3_sql(), "op6_license_scan": op6_sql(), "op9_jaccard_join": op9_sql()}

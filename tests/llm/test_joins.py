@@ -1,6 +1,7 @@
 """Similarity joins and components against brute force, and on odd tables."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -153,8 +154,9 @@ def brute_vectors(rows, t):
     for x, a in enumerate(good):
         u.find(a)
         for b in good[:x]:
-            p, q = (np.array(rows[k][1], np.float32).astype(float) for k in (a, b))
-            if len(p) == len(q) and p @ q / np.linalg.norm(p) / np.linalg.norm(q) >= t:
+            p, q = ([Fraction(float(x)) for x in rows[k][1]] for k in (a, b))
+            dot, square = sum(x * y for x, y in zip(p, q)), sum(x * x for x in p) * sum(y * y for y in q)
+            if len(p) == len(q) and dot > 0 and dot * dot >= Fraction(t) * Fraction(t) * square:
                 u.join(a, b)
                 n[a] += 1
                 n[b] += 1
@@ -173,12 +175,36 @@ def test_vectors(spark, cell_rows):
         for _ in range(int(rng.integers(1, 12))):
             rows.append((len(rows), [float(x) for x in (mean + rng.normal(size=6) * 0.18).astype(np.float32)]))
     rows += [(900, None), (901, []), (902, [0.0] * 6), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (904, [float("nan")] * 6), (905, [float("inf")] + [0.0] * 5), (906, rows[3][1]), (906, rows[3][1]), (907, rows[3][1]), (908, [1.0, 0.0]), (909, [2.0, 0.0]), (910, [x * 1e-30 for x in rows[3][1]]), (None, rows[3][1])]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, weight int, cell int").repartition(3)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, weight int, cell int").repartition(3)
     got = embeddings.near_duplicates(df, 0.9, cell_rows=cell_rows).collect()
-    assert sorted((tuple(r)[:3] for r in got), key=str) == brute_vectors(rows, 0.9)
+    assert sorted((tuple(r)[:3] for r in got), key=str) == brute_vectors(rows, "0.9")
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).count() == 1
+
+
+def test_vectors_at_the_threshold_and_beyond_floats(spark):
+    ones = lambda *places: [1.0 if i in places else 0.0 for i in range(11)]
+    rows = [(1, ones(*range(10))), (2, ones(*range(9), 10)), (3, ones(*range(8))), (4, [1e-60, 1e-60] + [0.0] * 9), (5, [2e-60, 2e-60] + [0.0] * 9), (6, [1e50] + [0.0] * 10), (7, [1e300] + [0.0] * 10), (8, [5e-320] + [0.0] * 10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (2, 6), 7: (2, 6), 8: (2, 6)}
+
+
+def test_pivots_in_two_levels():
+    rng = np.random.default_rng(4)
+    x = embeddings.unit(rng.normal(size=(3000, 5)))
+    p = embeddings.Pivots.of(embeddings.choose_pivots(x[:1500], 600))
+    assert len(p.at) == 600 and len(p.tops) > 1
+    own, near = p.nearest(x)
+    a = embeddings.angles(x, p.at)
+    assert np.abs(near - a.min(1)).max() < 1e-6
+    radius = np.array([near[own == c].max(initial=-10) for c in range(600)])
+    go = set(zip(*(v.tolist() for v in p.visits(x, own, near, radius, 0.1))))
+    for i in range(0, 3000, 97):
+        for j in np.flatnonzero(x[i + 1 :] @ x[i] >= np.cos(0.1)) + i + 1:
+            first, second = sorted((i, j), key=lambda k: own[k])
+            assert own[i] == own[j] or (first, own[second]) in go
