@@ -6,10 +6,12 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _kept: dict = {}
@@ -44,9 +46,11 @@ def kept(name: object, make):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -79,16 +83,31 @@ def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % m
 
 
-def sample_share(total: int, most: int) -> float:
-    """The share of rows that a bounded sample keeps."""
-    return 1.0 if total <= most else most / total
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def sampled(df: DataFrame, key: str, share: float) -> DataFrame:
-    """A deterministic sample of about that share, by a hash of the key."""
-    if share >= 1:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(1 << 30)) < int(share * (1 << 30)))
+def unlike(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores before it as long as it is taken."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_columns(docs: DataFrame, keep: Iterable[str], text: str, added: dict[str, str], step) -> DataFrame:
+    """The kept columns and `added` (name -> type), which step makes of Arrow batches whose last column is the text.
+
+    An added column whose name a kept one has gets the name that unlike() gives.
+    """
+    ship(docs.sparkSession)
+    keep = list(keep)
+    chosen = docs.select(*[named(k).alias(f"k{i}") for i, k in enumerate(keep)], named(text).cast("string").alias("t"))
+    kind = T.StructType(chosen.schema.fields[:-1] + [T.StructField(f"a{i}", T._parse_datatype_string(x)) for i, x in enumerate(added.values())])
+    names = kind.names
+    out = chosen.mapInArrow(lambda batches: (b.rename_columns(names) for b in step(batches)), kind)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *[F.col(f"a{i}").alias(unlike(k, keep)) for i, k in enumerate(added)])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

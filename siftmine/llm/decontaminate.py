@@ -5,19 +5,22 @@ edits (insertions, deletions, substitutions of a character). Cut into k + 1 piec
 edits, so every passage within the budget holds an exact piece: one automaton finds the pieces of all items. The cuts
 form a binary tree in which the budgets of two parts are one less together than that of the whole, so some exact piece
 lies next to a sibling that keeps to its parent's budget; that, and a count of shared 4-grams (k edits destroy 4k of
-them at most), exclude most places. Myers' bit-parallel algorithm measures the rest.
+them at most), exclude most places. Myers' bit-parallel algorithm measures the rest. A passage begins and ends at
+word edges, so a short item isn't found within a longer word.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import kept, ship, unlike, with_columns
 
 WORD = re.compile(r"[^\W_]+")
 Q = 4
@@ -77,6 +80,44 @@ def myers(pattern: str, text: str, k: int, masks: dict[str, int] | None = None)
     return (best, end) if best <= k else (k + 1, -1)
 
 
+def scores(pattern: str, text: str, masks: dict[str, int], anchored: bool) -> list[int]:
+    """For every end, from 0 on, the least edit distance of the pattern to a part of the text that ends there; to the whole text up to there if anchored."""
+    m = len(pattern)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    out = [m]
+    for c in text:
+        eq = masks.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (~(xh | pv) & full)
+        mh = pv & xh
+        score += 1 if ph & top else -1 if mh & top else 0
+        out.append(score)
+        ph = ph << 1 | anchored
+        mh <<= 1
+        pv = (mh | ~(xv | ph)) & full
+        mv = ph & xv & full
+    return out
+
+
+def whole_words(item: str, text: str, a: int, b: int, k: int, masks: dict[str, int]) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the nearest run of whole words within k edits in a region of the text, then the first; None without one."""
+    part, best = text[a:b], None
+    ends = [(x, j) for j, x in enumerate(scores(item, part, masks, False)) if x <= k and j and (a + j == len(text) or text[a + j] == " ")]
+    back = None
+    for least, j in sorted(ends):
+        if best and least >= best[0]:
+            break
+        back = back or char_masks(item[::-1])
+        from_end = scores(item[::-1], part[:j][::-1][: len(item) + k], back, True)
+        for i, x in enumerate(from_end):
+            start = a + j - i
+            if x <= k and i and (not start or text[start - 1] == " ") and (best is None or (x, start) < best[:2]):
+                best = (x, start, a + j)
+    return best
+
+
 def char_masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -143,21 +184,24 @@ class Items:
                 part = text[a:b]
                 if least > 0 and sum(part[i : i + Q] in grams for i in range(len(part) - Q + 1)) < least:
                     continue
-                distance, end = myers(item, part, k, self.masks[n])
-                if end < 0:
+                if myers(item, part, k, self.masks[n])[1] < 0:
                     continue
-                count += 1
-                if best is None or distance < best[0]:
-                    back = part[:end][::-1]
-                    _, length = myers(item[::-1], back[: len(item) + k], distance)
-                    best = (distance, a + end - length, a + end)
+                found = whole_words(item, text, a, b, k, self.masks[n])
+                if found:
+                    count += 1
+                    best = min(best or found, found)
             if best:
                 out.append((n, *best, count))
         return out
 
 
-def _found(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    items = Items(*shared.value)
+def _items(shared, name: str) -> Items:
+    """One block for each Python worker: what a task has built serves the next."""
+    return kept(("items", name), lambda: Items(*shared.value))
+
+
+def _found(batches: Iterator[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
+    items = _items(shared, name)
     for b in batches:
         docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         rows = []
@@ -172,6 +216,13 @@ def _found(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names=names)
 
 
+def _marked(batches: Iterator[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
+    items = _items(shared, name)
+    for b in batches:
+        found = [bool(items.find(folded(t))) for t in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.bool_())], names=[*b.schema.names[:-1], "found"])
+
+
 def _origin(text: str) -> tuple[list[int], list[int]]:
     """For each character of the folded text, where its original begins and ends."""
     starts: list[int] = []
@@ -190,28 +241,49 @@ def _origin(text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, block: int = 20_000) -> DataFrame:
+def _blocks(benchmark: DataFrame, share: float, chars: int) -> Iterator[tuple]:
+    """(broadcast, name) of blocks of items of about that many characters; the driver holds one of them."""
+    sc = benchmark.sparkSession.sparkContext
+    block, size, any_yet = [], 0, False
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text")
+    for r in rows.toLocalIterator():
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+        if size >= chars:
+            yield sc.broadcast((block, share)), uuid.uuid4().hex
+            block, size, any_yet = [], 0, True
+    if block or not any_yet:
+        yield sc.broadcast((block, share)), uuid.uuid4().hex
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, chars: int = 4_000_000) -> DataFrame:
     """Passages of benchmark(item_id, text) in docs(doc_id, text) within an edit budget of that share of the item's length.
 
     One row for each document and item found: doc_id, item_id, distance, budget, start and end of the nearest passage
-    (code points of the document's text) and the number of separate places. Items and texts that are null or have
-    no word match nothing; repeated rows are found as often as they come. Items go to the executors `block` at a time,
-    each block in a pass of its own over the documents, which are never shuffled.
+    (code points of the document's text; of equally near ones the first) and the number of separate places. Items and
+    texts that are null or have no word match nothing; an item of fewer than 1/share characters matches itself only,
+    at word edges like any other. Repeated rows are found as often as they come, rows without an id too, and texts of
+    any length are read whole, one at a time. Further columns are left alone. Items go to the executors in blocks of
+    about `chars` characters, each block in a pass of its own over the documents, which are never shuffled.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = [(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text").toLocalIterator()]
+    ship(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kind = "doc_id long, item_id long, distance long, budget long, start long, end long, places long"
-    out = None
-    for i in range(0, max(1, len(items)), block):
-        shared = spark.sparkContext.broadcast((items[i : i + block], share))
-        found = chosen.mapInArrow(lambda b, s=shared: _found(b, s), kind)
-        out = found if out is None else out.unionByName(found)
-    return out
+    parts = [chosen.mapInArrow(lambda b, s=shared, n=name: _found(b, s, n), kind) for shared, name in _blocks(benchmark, share, chars)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: float = 0.1, chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, in which contaminated() would find nothing; row by row, whatever their ids."""
+    mark = unlike("found", docs.columns)
+    for shared, name in _blocks(benchmark, share, chars):
+        found = with_columns(docs, docs.columns, text, {"found": "boolean"}, lambda b, s=shared, n=name: _marked(b, s, n))
+        docs = found.where(~F.col(mark)).drop(mark)
+    return docs
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All benchmark passages in the documents, with a budget of a tenth of the item's length."""
     from .common import table
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

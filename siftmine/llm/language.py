@@ -2,8 +2,9 @@
 
 The units of a document are its words; a word's likelihood in a language is that of its letter trigrams there,
 learned from documents of known language. Expectation-maximisation finds the shares of the languages among the words,
-first with all languages, then with fewer: languages leave one by one, the least likely first, while the likelihood
-less a penalty for each language (half the logarithm of the number of words, times PENALTY) grows.
+first with all languages, then with fewer: those that claim less than half a word leave together, the others one by
+one, the least likely first, while the likelihood less a penalty for each language (half the logarithm of the number of
+words, times PENALTY) grows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, ship, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 16
@@ -36,17 +37,34 @@ def grams(word: str) -> list[int]:
 
 @dataclass
 class Model:
+    """Log-likelihoods of n-grams: by language what an unseen n-gram has, and by n-gram (as rows of a sparse table) what a seen one has more."""
+
     langs: list[str]
-    table: np.ndarray  # TABLE x langs: log-likelihood of each n-gram
+    unseen: np.ndarray
+    starts: np.ndarray  # TABLE + 1
+    lang: np.ndarray
+    more: np.ndarray
+
+    def sums(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums over the n-grams of each word: words x langs."""
+        k = len(self.langs)
+        n = self.starts[flat + 1] - self.starts[flat]
+        at = np.repeat(self.starts[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        word = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
+        seen = np.bincount(word * k + self.lang[at], weights=self.more[at], minlength=len(sizes) * k).reshape(-1, k)
+        return (seen + sizes[:, None] * self.unseen).astype(np.float32)
+
+
+CELLS = 1 << 24  # log-likelihoods that are held at once
 
 
 class Likelihoods(dict):
-    """Word -> place of its log-likelihoods in `rows`. Emptied beyond `most` words."""
+    """Word -> place of its log-likelihoods in `rows`. Emptied beyond `most` words, fewer with many languages."""
 
     def __init__(self, model: Model, most: int = 300_000):
         super().__init__()
-        self.model, self.most = model, most
-        self.rows = np.zeros((most + 1, len(model.langs)), np.float32)
+        self.model, self.most = model, max(1, min(most, CELLS // max(1, len(model.langs))))
+        self.rows = np.zeros((self.most + 1, len(model.langs)), np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -61,7 +79,7 @@ class Likelihoods(dict):
         g = [grams(w) for w in new]
         sizes = np.array([len(x) for x in g])
         flat = np.fromiter((i for x in g for i in x), dtype=np.int64, count=int(sizes.sum()))
-        sums = np.add.reduceat(self.model.table[flat], np.cumsum(sizes) - sizes, axis=0) * FLAT
+        sums = self.model.sums(flat, sizes) * FLAT
         first = len(self)
         self.rows[first : first + len(new)] = sums
         self.update(zip(new, range(first, first + len(new))))
@@ -98,8 +116,18 @@ def mixtures(counts: np.ndarray, rows: np.ndarray, doc: np.ndarray, docs: int, p
     active = np.ones((docs, k), bool)
     everyone = np.arange(docs)
     best, value = em(active, np.full((docs, k), 1.0 / k), everyone)
-    going = everyone
+    # what claims less than half a word goes at once
+    trial = best * size[:, None] >= 0.5
+    going = np.flatnonzero(trial.any(1) & ~trial.all(1))
+    if len(going):
+        p, v = em(trial[going], np.maximum(best[going], 1e-3), going)
+        better = v >= value[going]
+        won = going[better]
+        best[won], value[won], active[won] = p[better], v[better], trial[won]
+    going = everyone[active.sum(1) > 1]
     for _ in range(k - 1):
+        if not len(going):
+            break
         # what each language alone can claim: the next to go has the smallest share
         share = np.where(active[going], best[going], 2.0)
         gone = share.argmin(1)
@@ -109,16 +137,16 @@ def mixtures(counts: np.ndarray, rows: np.ndarray, doc: np.ndarray, docs: int, p
         better = v >= value[going]
         won = going[better]
         best[won], value[won], active[won] = p[better], v[better], trial[better]
-        going = won
-        if not len(going):
-            break
+        going = won[active[won].sum(1) > 1]
     return best
 
 
-def train(counts: np.ndarray, langs: list[str], smooth: float = 0.2) -> Model:
-    """counts: TABLE x langs."""
-    c = counts + smooth
-    return Model(langs, np.log(c / c.sum(0)).astype(np.float32))
+def train(gram: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: list[str], smooth: float = 0.2) -> Model:
+    """Of counts n by n-gram and place in langs, none twice."""
+    order = np.lexsort((lang, gram))
+    gram, lang, n = gram[order], lang[order], n[order].astype(np.float64)
+    total = np.bincount(lang, weights=n, minlength=len(langs)) + smooth * TABLE
+    return Model(langs, np.log(smooth / total), np.searchsorted(gram, np.arange(TABLE + 1)), lang, np.log((n + smooth) / smooth))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,24 +164,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = {}
 
 
-def fit(docs: DataFrame, rule: Column | None = None, most: int = 20_000, most_langs: int = 512) -> Model:
-    """Learn from docs(doc_id, text, lang) that meet the rule and have a language: about `most` documents at most by a
-    hash of doc_id, whole texts. The driver gets TABLE counts for each language. The most_langs commonest are learned."""
+def fit(docs: DataFrame, rule: Column | None = None, most: int = 20_000) -> Model:
+    """Learn from docs(doc_id, text, lang) that meet the rule and have a language: whole texts of about `most` documents,
+    by a hash of doc_id as many of each language as of another, and of each language, however rare, the least hash.
+
+    Null texts count as empty; without any usable row no language is learned. The driver gets the n-gram counts of that
+    sample."""
     ship(docs.sparkSession)
     known = docs.where((F.lit(True) if rule is None else rule) & F.col("lang").isNotNull())
-    langs = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    if not langs:
-        return Model([], np.zeros((TABLE, 0), np.float32))
-    # as many of each language as of another, as far as it has them
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(78)), F.lit(1 << 30)).alias("h"))
+    langs = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).toPandas()  # a row for each language
+    if not len(langs):
+        return train(*[np.zeros(0, np.int64)] * 3, [])
     each = max(1, most // len(langs))
-    share = F.create_map(*[F.lit(x) for q, n in langs.items() for x in (q, int(min(1.0, each / n) * (1 << 30)))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(78)), F.lit(1 << 30)) < share[F.col("lang")])
-    grams_of = chosen.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_counted, "lang string, gram long, n double")
-    got = grams_of.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(langs)
-    counts = np.zeros((TABLE, len(names)))
-    counts[got["gram"].to_numpy(dtype=np.int64), [names.index(x) for x in got["lang"]]] = got["n"]
-    return train(counts, names)
+    langs["until"] = np.maximum((np.minimum(1.0, each / langs["n"]) * (1 << 30)).astype("int64"), langs["first"] + 1)
+    until = F.broadcast(docs.sparkSession.createDataFrame(langs[["lang", "until"]], "lang string, until long"))
+    chosen = known.join(until, "lang").where("h < until").select("lang", "text")
+    got = chosen.mapInArrow(_counted, "lang string, gram long, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(langs["lang"])
+    place = {x: i for i, x in enumerate(names)}
+    return train(got["gram"].to_numpy(dtype=np.int64), np.array([place[x] for x in got["lang"]], np.int64), got["n"].to_numpy(), names)
 
 
 def _identify(batches: Iterator[pa.RecordBatch], shared, penalty: float, group: int = 300) -> Iterator[pa.RecordBatch]:
@@ -164,6 +194,7 @@ def _identify(batches: Iterator[pa.RecordBatch], shared, penalty: float, group:
         pred: list[str | None] = []
         score: list[float] = []
         mix: list[list[tuple[str, float]]] = []
+        group = max(1, min(group, CELLS // (1000 * max(1, len(model.langs)))))
         for i in range(0, len(texts), group):
             bags = [Counter(WORD.findall((t or "").lower())) for t in texts[i : i + group]]
             bags = [x if any(c.isalpha() for w in x for c in w) else None for x in bags]  # numerals alone are no words
@@ -192,15 +223,18 @@ def _identify(batches: Iterator[pa.RecordBatch], shared, penalty: float, group:
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", penalty: float = PENALTY) -> DataFrame:
     """The kept columns, lang_pred (the language of the largest share), score (that share) and languages (all of the
-    chosen set with their shares, largest first) of every whole text. A text that is null or has no letter is `und`, 0."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE rows for each language
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(lambda b: _identify(b, shared, penalty), f"{kind}, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+    chosen set with their shares, largest first) of every whole text, a row for each row.
+
+    A text that is null or has no letter is `und`, 0, and so is any if no language was learned. Of equal shares the
+    language first in the alphabet wins. Repeated texts give the same. Texts of any length are read whole. Added columns
+    whose names kept ones have get underscores before them. An empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the rows that fit() learns from
+    return with_columns(docs, keep, text, {"lang_pred": "string", "score": "double", "languages": "array<struct<lang: string, share: double>>"}, lambda b: _identify(b, shared, penalty))
 
 
 def op2_language_mixture(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and languages of every document."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept, ship
+from .common import crc_mod, kept, ship, with_columns
 from .toxicity import training_rows
 
 SHAPES, PAIRS, REPEATS, WORDS = 1024, 2048, 8, 1024
@@ -159,15 +159,18 @@ def _score(batches: Iterator[pa.RecordBatch], model, block: int = 400) -> Iterat
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and score, 0 to 1, of every whole text; null and empty texts get the share of label 1."""
-    ship(docs.sparkSession)
+    """The kept columns and score, 0 to 1, of every whole text, a row for each row; repeated texts score the same.
+
+    Null and empty texts get the share of label 1. Of labelled vectors that are equally similar at the edge of the
+    neighbourhood any may vote. Texts of any length are read whole, one at a time. Where a kept column is called score,
+    the score is _score. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of labelled rows that fit() keeps
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(lambda b: _score(b, shared), f"{kind}, score double")
+    return with_columns(docs, keep, text, {"score": "double"}, lambda b: _score(b, shared))
 
 
 def op8_quality_votes(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

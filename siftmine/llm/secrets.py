@@ -1,8 +1,9 @@
 """Secret scans with structural confirmation.
 
 Three plain patterns always report. Beyond them, base64 and hex candidates are decoded and reported only if their
-bytes parse: ASN.1 key encodings whose nested lengths fill the value exactly, SSH key blobs made of length-prefixed
-fields, PEM blocks around either, and signed tokens whose header is a JSON object that names its algorithm.
+bytes parse as something secret: private keys in DER (PKCS#1, PKCS#8, encrypted PKCS#8, SEC1, DSA) whose nested lengths
+fill the value exactly, OpenSSH private key containers, PEM blocks around either, and signed tokens whose header is a
+JSON object that names its algorithm. Certificates and public keys parse too, but aren't secrets, and aren't reported.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import with_columns
 
 # The plain kinds and their patterns, then the confirmed kinds, in the order of ties.
 KINDS = ["assign", "access", "hex", "pem", "der", "ssh", "jwt"]
@@ -26,9 +27,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-LONG_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+HEX_KEY = re.compile(r"(?=30(?:[0-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4}|83[0-9a-f]{6})(?:02010[01]|30))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----")
+BREAK = re.compile(r"\\[rn]|[\r\n]")
+ENCRYPTED = re.compile(r"^Proc-Type: *4,ENCRYPTED", re.M)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
 
@@ -58,37 +62,135 @@ def _tlv(raw: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+def _elements(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill a range exactly; None if none do."""
+    out = []
+    while at < end:
+        e = _tlv(raw, at, end)
+        if not e:
+            return None
+        out.append(e)
+        at = e[2]
+    return out
+
+
+# Object identifiers of password-based encryption, PKCS #5 and PKCS #12, without their last numbers.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
+
+
 def is_der_key(raw: bytes) -> bool:
-    """A DER SEQUENCE that fills the bytes, whose elements nest exactly and hold an integer or key identifier."""
+    """A private key in DER that fills the bytes."""
     top = _tlv(raw, 0, len(raw))
-    if not top or top[0] != 0x30 or top[2] != len(raw) or len(raw) < 24:
+    if not top or top[0] != SEQUENCE or top[2] != len(raw) or len(raw) < 24:
+        return False
+    parts = _elements(raw, top[1], top[2])
+    if not parts or len(parts) < 2:
+        return False
+    tags = [p[0] for p in parts]
+    inside = _elements(raw, parts[0][1], parts[0][2]) if tags[0] == SEQUENCE else None
+    if inside and inside[0][0] == OID:  # encrypted PKCS#8: algorithm, octets
+        return tags == [SEQUENCE, OCTETS] and raw[inside[0][1] : inside[0][2]].startswith(PASSWORD_BASED)
+    version = raw[parts[0][1] : parts[0][2]]
+    if tags[0] != INTEGER or version not in (b"\0", b"\1"):
         return False
-    tags, stack = [], [(top[1], top[2])]
-    while stack:
-        at, end = stack.pop()
-        while at < end:
-            e = _tlv(raw, at, end)
-            if not e:
-                return False
-            tags.append(e[0])
-            if e[0] & 0x20:
-                stack.append((e[1], e[2]))
-            at = e[2]
-    return len(tags) >= 2 and (0x02 in tags or 0x06 in tags) and all(t in (0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x17, 0x18, 0x01, 0x30, 0x31) or t & 0xC0 == 0x80 for t in tags)
+    if all(t == INTEGER for t in tags):  # DSA, and PKCS#1 with two primes
+        return len(tags) in (6, 9)
+    if tags[1] == INTEGER:  # PKCS#1 with more primes
+        return tags[:9] == [INTEGER] * 9 and tags[9:] == [SEQUENCE] and version == b"\1"
+    if tags[1] == OCTETS:  # SEC1
+        return version == b"\1" and parts[1][2] - parts[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    algorithm = _elements(raw, parts[1][1], parts[1][2]) if tags[1] == SEQUENCE else None  # PKCS#8
+    return bool(algorithm) and algorithm[0][0] == OID and len(tags) > 2 and tags[2] == OCTETS and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
 
 
 def is_ssh_key(raw: bytes) -> bool:
-    """An OpenSSH key container, or a public blob of length-prefixed fields that fills the bytes and begins with its kind."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(raw):
+    """An OpenSSH private key container, whose fields fill the bytes."""
+    magic = b"openssh-key-v1\0"
+    if not raw.startswith(magic):
+        return False
+    at = len(magic)
+
+    def field() -> bytes | None:
+        nonlocal at
         n = int.from_bytes(raw[at : at + 4], "big")
         if at + 4 + n > len(raw):
-            return False
-        fields.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(raw) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+            return None
+        out, at = raw[at + 4 : at + 4 + n], at + 4 + n
+        return out
+
+    cipher, method, options = field(), field(), field()
+    if not cipher or not method or options is None:
+        return False
+    keys, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 64 or any(not field() for _ in range(keys)):
+        return False
+    private = field()
+    return bool(private) and at == len(raw) and len(private) % 8 == 0
+
+
+def der_length(raw: bytes) -> int:
+    """Bytes of the DER element that begins here, by its head; 0 if it's none of a private key."""
+    if len(raw) < 6 or raw[0] != SEQUENCE:
+        return 0
+    n, at = raw[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 3:
+            return 0
+        n, at = int.from_bytes(raw[2 : 2 + k], "big"), 2 + k
+    return at + n if raw[at : at + 1] == b"\x30" or raw[at : at + 2] == b"\2\1" else 0
+
+
+def keys_in_base64(run: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of key encodings in a run, at any place in it, as a path or a line end may stand before them."""
+    out, at = [], 0
+    body = run.rstrip("=")
+    while True:
+        at = min((x for x in (body.find("M", at), body.find("b3BlbnNzaC1rZXkt", at)) if x >= 0), default=-1)
+        if at < 0:
+            return out
+        if body[at] == "b":
+            raw = b64(run[at:])
+            if raw and is_ssh_key(raw):
+                out.append(("ssh", at, len(run)))
+                return out
+        elif body[at + 1 : at + 2] in set("ABCDEFGHI"):
+            head = b64(body[at : at + 12])
+            n = der_length(head) if head else 0
+            end = at + -(-n * 4 // 3)
+            if n >= 24 and end <= len(body):
+                raw = b64(body[at:end])
+                if raw and is_der_key(raw[:n]):
+                    stop = len(run) if end == len(body) else end
+                    out.append(("der", at, stop))
+                    at = end
+                    continue
+        at += 1
+
+
+def keys_in_hex(run: str) -> list[tuple[int, int]]:
+    low, out, after = run.lower(), [], 0
+    for m in HEX_KEY.finditer(low):
+        at = m.start()
+        n = der_length(bytes.fromhex(low[at : at + 12])) if at >= after else 0
+        if 24 <= n and at + 2 * n <= len(low) and is_der_key(bytes.fromhex(low[at : at + 2 * n])):
+            after = at + 2 * n
+            out.append((at, after))
+    return out
+
+
+def is_pem_key(body: str) -> bool:
+    """What lies between the lines of a PEM block: base64 of a private key, or of a whole number of ciphertext blocks
+    under the heads that say so. Line ends may be written as backslash and letter."""
+    lines = [x.strip(" \t\"',+") for x in BREAK.split(body)]
+    heads = [x for x in lines if ": " in x]
+    raw = b64("".join(x for x in lines if x not in heads))
+    if not raw:
+        return False
+    if any(ENCRYPTED.match(x) for x in heads):
+        return len(raw) >= 24 and len(raw) % 8 == 0
+    return is_der_key(raw) or is_ssh_key(raw)
 
 
 def is_token_header(text: str) -> bool:
@@ -111,19 +213,16 @@ def spans(text: str | None) -> list[tuple[str, int, int, int]]:
     out += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            raw = b64(m[2])
-            if raw and (is_der_key(raw) or is_ssh_key(raw)):
-                out.append(("pem", m.start(), m.end(), m.start()))
+        begun = list(PEM.finditer(text))
+        for m, after in zip(begun, [*(x.start() for x in begun[1:]), len(text)]):
+            end = f"-----END {m[1]}-----"
+            at = text.find(end, m.end(), after)
+            if at >= 0 and is_pem_key(text[m.end() : at]):
+                out.append(("pem", m.start(), at + len(end), m.start()))
     for m in BASE64.finditer(text):
-        raw = b64(m[0])
-        if raw and (raw[0] == 0x30 and is_der_key(raw)):
-            out.append(("der", m.start(), m.end(), m.start()))
-        elif raw and is_ssh_key(raw):
-            out.append(("ssh", m.start(), m.end(), m.start()))
+        out += [(kind, m.start() + a, m.start() + b, m.start() + a) for kind, a, b in keys_in_base64(m[0])]
     for m in LONG_HEX.finditer(text):
-        if m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
-            out.append(("der", m.start(), m.end(), m.start()))
+        out += [("der", m.start() + a, m.start() + b, m.start() + a) for a, b in keys_in_hex(m[0])]
     if "ey" in text or "ew" in text:
         out += [("jwt", m.start(), m.end(), m.start()) for m in JWT.finditer(text) if is_token_header(m[1])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -165,16 +264,17 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """One row for each document: the kept columns, spans (kind, start, end, value; by start, then kind), and on
     request the text with every secret value replaced (`redacted`).
 
-    A null or empty text has no spans and stays as it is. Rows, repeated or not, are scanned one by one; no shuffle.
+    A null or empty text has no spans and stays as it is. Spans of different kinds may overlap; of one kind they don't,
+    and ties go by kind. Rows, repeated or not, are scanned one by one; no shuffle, and an empty table gives no rows.
+    Texts of any length are scanned whole, one at a time. Where a kept column has a name that
+    is added here, that gets underscores before it.
     """
-    ship(docs.sparkSession)
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    kind = ", ".join([*kinds, "spans array<struct<kind: string, start: bigint, end: bigint, value: bigint>>"] + ["redacted string"] * with_text)
-    return chosen.mapInArrow(lambda b: _scan(b, with_text), kind)
+    kinds = {"spans": "array<struct<kind: string, start: bigint, end: bigint, value: bigint>>"} | ({"redacted": "string"} if with_text else {})
+    return with_columns(docs, keep, text, kinds, lambda b: _scan(b, with_text))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Counts of the plain kinds, the digest of their spans, and all spans, of every document."""
     from .common import table
 
     found = find_secrets(table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, ship, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 18
@@ -128,6 +128,7 @@ class Model:
             z += np.log(THRESHOLD / (1 - THRESHOLD)) - self.cuts[self.language(r)]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
+
 def train(ids: list[np.ndarray], labels: np.ndarray, langs: list[str | None] | None = None, epochs: int = 8, rate: float = 0.01, seed: int = 7) -> Model:
     """Fit on word rows and 0/1 labels; langs serve to calibrate thresholds only. With one label only, all scores are low or high."""
     rng = np.random.default_rng(seed)
@@ -272,15 +273,17 @@ def _score(batches: Iterator[pa.RecordBatch], model, group: int = 200) -> Iterat
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and score, 0 to 1, of every whole text; null and empty texts get the score of no words."""
-    ship(docs.sparkSession)
+    """The kept columns and score, 0 to 1, of every whole text, a row for each row; repeated texts score the same.
+
+    Null and empty texts get the score of no words. Texts of any length are read whole, one at a time. Where a kept
+    column is called score, the score is _score. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: TABLE rows
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(lambda b: _score(b, shared), f"{kind}, score double")
+    return with_columns(docs, keep, text, {"score": "double"}, lambda b: _score(b, shared))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

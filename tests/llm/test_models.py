@@ -1,5 +1,7 @@
 """Classifiers and language mixtures: held-out accuracy on the driver's tables, and odd tables."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +85,37 @@ def test_em_against_single_words():
     # one word of the other language doesn't pay for a language of its own
     got = language.mixtures(np.array([300.0, 1.0]), np.array([[0.0, -2.0], [-1.0, 0.0]], np.float32), np.array([0, 0]), 1)
     assert got[0] == pytest.approx([1, 0])
+
+
+def test_sets_against_all_of_them():
+    """The chosen set of languages has, of all sets, the best penalised likelihood or next to it."""
+    rng = np.random.default_rng(5)
+    for trial in range(25):
+        words = int(rng.integers(3, 60))
+        counts = rng.integers(1, 4, words).astype(float)
+        rows = rng.normal(0, 0.3, (words, 4)) - 3
+        for w in range(words):
+            rows[w, [0, 2][w % 2] if trial % 2 else 1] += 2.5
+        got = language.mixtures(counts, rows.astype(np.float32), np.zeros(words, int), 1)[0]
+
+        def value(langs):
+            p = np.full(len(langs), 1 / len(langs))
+            like = np.exp(rows[:, langs])
+            for _ in range(400):
+                r = like * p
+                p = (r / r.sum(1, keepdims=True) * counts[:, None]).sum(0) / counts.sum()
+            return (counts * np.log((like * p).sum(1))).sum() - language.PENALTY * 0.5 * np.log(counts.sum() + 1) * len(langs)
+
+        sets = [list(s) for k in range(1, 5) for s in itertools.combinations(range(4), k)]
+        assert value(list(np.flatnonzero(got > 1e-9))) >= max(map(value, sets)) - 0.5
+
+
+def test_more_languages_than_documents_are_learned_from(spark):
+    """However rare, each is learned."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4)) * 2
+    rows = [(i, f"{word(i * 7919)} {word(i * 104729 + 5)} " * 3, f"l{i:03d}") for i in range(600)] + [(1000 + i, "the common words of all " * 2, "l000") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, most=50)
+    assert len(model.langs) == 600
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df.where("doc_id between 1 and 599"), model).collect()}
+    assert sum(got[i] == f"l{i:03d}" for i in got) > 0.97 * len(got)
