@@ -114,9 +114,9 @@ def check_pieces(pieces, encoder, rows, length):
     assert short <= 1 and sorted(where) == list(range(len(where)))
 
 
-@pytest.mark.parametrize("targets", [None, {"a": 1, "b": 3}, {"zzz": 1.0}, {"a": 0.5, "b": 0.25, "*": 0.25}])
+@pytest.mark.parametrize("targets", [None, {"a": 1, "b": 3}, {"zzz": 1.0}, {"a": 0.5, "b": 0.25, "*": 0.25}, {None: 1.0, "a": 1.0}])
 def test_packing(spark, docs, encoder, targets):
-    pieces = packing.pack(docs, targets, length=64, window=256, least_share=1e-9).collect()
+    pieces = packing.pack(docs, targets, length=64, window=256).collect()
     check_pieces(pieces, encoder, ODD, 64)
 
 
@@ -355,5 +355,56 @@ def test_every_line_within_the_threshold_is_compared(spark):
 def test_a_small_source_with_a_target_keeps_its_share(spark):
     rows = [(k, "word " * 20000, "big") for k in range(4)] + [(9, "one two", "small")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = packing.pack(df, targets={"big": 0.5, "small": 0.5}, length=64, window=64, least_share=0.01, with_ids=False).collect()
+    got = packing.pack(df, targets={"big": 0.5, "small": 0.5}, length=64, window=64, with_ids=False).collect()
     assert {r["sequence_id"] for r in got if r["source"] == "small"} == {0}
+
+
+def test_places_are_those_of_deficits_that_are_carried():
+    """Every token has a place of its own, in its queue's order, and no window is off the mixture by more than two tokens for each queue."""
+    rng = random.Random(9)
+    for _ in range(60):
+        totals = {q: rng.choice([1, 2, rng.randint(1, 60), rng.randint(1, 900)]) for q in "abcdef"[: rng.randint(1, 6)]}
+        window, total = rng.randint(1, 90), sum(totals.values())
+        plan, place = packing.Plan(totals, None, window), {}
+        for q, n in totals.items():
+            cuts = sorted({0, n, *(rng.randint(0, n) for _ in range(3))})
+            for x, y in zip(cuts, cuts[1:]):
+                for done, size, pos in plan.places(q, x, y - x):
+                    place.update({pos + i: (q, x + done + i) for i in range(size)})
+        order = [place[i] for i in range(total)]
+        for q, n in totals.items():
+            assert [y for p, y in order if p == q] == list(range(n))
+            for c in range(0, total, window):
+                some = order[c : c + window]
+                assert abs(sum(p == q for p, _ in some) - len(some) * n / total) < 2 * len(totals)
+
+
+def test_sources_of_a_class():
+    rng = random.Random(10)
+    for _ in range(30):
+        sizes = [rng.randint(64, 127) for _ in range(rng.randint(1, 9))]
+        total, window = sum(sizes), packing.QUANTUM * len(sizes)
+        at, low = [], 0
+        for n in sizes:
+            at += [(pos + i, low, done + i) for done, size, pos in packing.spread(0, n, window, low, low + n, total) for i in range(size)]
+            low += n
+        assert [p for p, _, _ in sorted(at)] == list(range(total)) and all([y for _, q, y in sorted(at) if q == k] == list(range(n)) for k, n in zip(np.cumsum([0, *sizes]), sizes))
+
+
+def test_every_sequence_has_the_mixture_however_many_sources(spark):
+    rng = random.Random(3)
+    sizes = [("big", 20), ("middle", 9), (None, 6), ("*", 4)] + [(f"tail{i:02d}", 1) for i in range(30)]
+    rows = [(k, "word " * (700 if n > 1 else rng.randint(5, 90)), s) for k, (s, n) in enumerate((s, n) for s, n in sizes for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = [r.asDict() for r in packing.pack(df, length=512, with_ids=False).collect()]
+    total, per = sum(r["length"] for r in pieces), {}
+    for r in pieces:
+        per.setdefault(r["sequence_id"], {}).setdefault(r["source"], []).append(r["length"])
+    for source, n in sizes[:4]:
+        share = sum(r["length"] for r in pieces if r["source"] == source) / total
+        for k in range(len(per) - 1):
+            assert abs(sum(per[k].get(source, [])) / 512 - share) < 0.03, (source, k)
+    tail = [sum(sum(x) for s, x in per[k].items() if s and s.startswith("tail")) for k in range(len(per) - 1)]
+    assert max(tail) - min(tail) <= 40
+    assert min(len(per[k]) for k in range(len(per) - 1)) >= 5
+    assert sum(len(x) for v in per.values() for s, x in v.items() if s and s.startswith("tail")) < 30 * 8  # not token by token
