@@ -1,7 +1,8 @@
 """Licence scans with DataFrame operations only.
 
-Headers and licence files are compared with templates by the cosine of sparse TF-IDF vectors; a file that has no
-licence of its own takes that of the nearest directory above it that has a licence file, found by joins on paths.
+Lines, paragraphs (headers run over several lines) and licence files are compared with templates by the cosine of
+sparse TF-IDF vectors; a file that has no licence of its own takes that of the nearest directory above it that has a
+licence file, found by joins on paths.
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch
 
 # Notices by which licences are recognised, by SPDX identifier.
-TEMPLATES = [
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
@@ -41,13 +41,41 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright (c) All rights reserved."),
 ]
 
-# Words that the SQL below asks of a line; scan() compares every line that can be within the threshold.
-MARKERS = ["licen", "copyright", "permission", "redistribution", "all rights", "unencumbered"]
+# Titles, headers and opening paragraphs of the licences' own texts.
+BODIES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+TEMPLATES = NOTICES + BODIES + [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in NOTICES) if name != "Proprietary"]
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying"
+LINES = "[\r\n]+"
+# lines without a letter or digit part paragraphs, as in comments
+PARAGRAPHS = "[\r\n][^A-Za-z0-9\r\n]*[\r\n][^A-Za-z0-9]*"
+SEVERAL = "[A-Za-z0-9][^\r\n]*[\r\n]+[^A-Za-z0-9]*[A-Za-z0-9]"
+FEW = 1_000_000  # rows that may be sent to every task
+SALTS = 16
 
 
 def terms_of(text: str) -> list[str]:
@@ -77,25 +105,30 @@ def near(unit: Column, templates: list[tuple[str, str]], threshold: float) -> Co
     a template's dot product is a sum over occurrences too. So what falls short by these sums does so by the cosine.
     """
     idf, unknown, rows = weights(templates)
-    tokens = F.regexp_extract_all(F.lower(unit), F.lit(TERM), F.lit(0))
-    zero, count = F.lit(0.0), F.size(tokens)
+    zero = F.lit(0.0)
     most: dict[str, float] = {}
-    for _, _, w, x in rows:
-        most[w] = max(most.get(w, 0.0), x * idf[w])
-    square = {w: v * v for w, v in idf.items()}
-    held = F.filter(tokens, lambda w: w.isin(sorted(idf)))
-
-    def total(of: dict[str, float], terms: Column) -> Column:
-        table = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair])
-        return F.aggregate(terms, zero, lambda a, w: a + F.coalesce(F.element_at(table, w), zero))
-
-    norm = F.sqrt(total(square, held) + (count - F.size(held)) * unknown * unknown)
-    least = (threshold - 1e-6) * norm  # similarities are rounded to six places
     own: dict[int, dict[str, float]] = {}
     for k, _, w, x in rows:
+        most[w] = max(most.get(w, 0.0), x * idf[w])
         own.setdefault(k, {})[w] = x * idf[w]
-    some = reduce(lambda a, b: a | b, [total(of, held) >= least for of in own.values()])
-    return (count > 0) & (total(most, held) >= least) & some
+    letters: dict[str, list] = {}
+    for w in sorted(idf):  # looked up by first letter, then term, as maps are searched one by one
+        letters.setdefault(w[0], []).extend([F.lit(w), F.struct(F.lit(most[w]).alias("m"), F.lit(idf[w] ** 2).alias("q"))])
+    table = F.create_map(*[x for c, pairs in letters.items() for x in (F.lit(c), F.create_map(*pairs))])
+    look = lambda w: F.element_at(F.element_at(table, F.substring(w, 1, 1)), w)
+    total = lambda of, terms: F.aggregate(terms, zero, lambda a, w: a + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair]), w), zero))
+
+    def able(held: Column, count: Column) -> Column:
+        def enough(sums: Column) -> Column:
+            least = (threshold - 1e-6) * F.sqrt(sums["q"] + (count - F.size(held)) * unknown * unknown)  # similarities are rounded to six places
+            return (sums["m"] >= least) & reduce(lambda a, b: a | b, [total(of, held) >= least for of in own.values()])
+
+        return F.exists(F.array(F.aggregate(held, F.struct(zero.alias("m"), zero.alias("q")), lambda a, w: F.struct((a["m"] + look(w)["m"]).alias("m"), (a["q"] + look(w)["q"]).alias("q")))), enough)
+
+    # each step is bound to a variable, so that it is computed once
+    tokens = F.array(F.regexp_extract_all(F.lower(unit), F.lit(TERM), F.lit(0)))
+    halves = F.transform(tokens, lambda t: F.struct(F.filter(t, lambda w: w.isin(sorted(idf))).alias("held"), F.size(t).alias("n")))
+    return F.exists(halves, lambda h: (F.size(h["held"]) > 0) & able(h["held"], h["n"]))
 
 
 def matched(units: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -117,62 +150,87 @@ def directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
 
 
+def units(known: DataFrame) -> DataFrame:
+    """Lines (kind 0) and paragraphs of several lines (kind 1) of known(id, u, text, file): id, u, file, kind, pos, unit."""
+    cut = lambda pattern, kind: known.select("id", "u", "file", F.lit(kind).alias("kind"), F.posexplode(F.split("text", pattern)).alias("pos", "unit"))
+    return cut(LINES, 0).unionByName(cut(PARAGRAPHS, 1).where(F.col("unit").rlike(SEVERAL)))
+
+
 def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """Licences of files(id, path, text): id, path, license, similarity, via; a row for each row.
 
-    A file's own licence is the best match of its lines (`header`), or of its whole text where its name is that of a
-    licence file (`file`); of equal matches the first line and template win. Every line is compared that isn't ruled
-    out by near(). Otherwise the nearest directory above with a licence file gives it (`inherited`, similarity of that
-    file), of several there the best match, then the smallest identifier. Without any, license and via are null and
-    similarity is 0. A null or empty text has no licence of its own, a null path inherits nothing, and rows with equal
-    ids share what any of them matches.
+    A file's own licence is the best match of its lines, of its paragraphs of several lines, and, where its name is that
+    of a licence file, of its whole text; via is `file` for licence files and `header` for others. Of equal matches
+    the first line, then the first paragraph, then the whole, and the first template win. Everything is compared that
+    near() doesn't rule out. Otherwise the nearest directory above with a licence file that has one gives it
+    (`inherited`, similarity of that file), of several there the best match, then the smallest identifier. Without any,
+    license and via are null and similarity is 0. A null or empty text has no licence of its own, a null path inherits
+    nothing, and rows with equal ids share what any of them matches. Rows without an id inherit, but their texts aren't
+    read. Texts of any length are compared whole. Further columns are left alone; an empty table gives no rows.
     """
     base = files.select(F.col(id).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     # u tells files with equal ids apart
-    known = base.where("id is not null").withColumn("u", F.xxhash64("id", "path", "text"))
-    some = scratch(known.where(named))
-    lines = known.select("id", "u", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "unit"))
-    lines = scratch(lines.where(near(F.col("unit"), templates, threshold)))
-    header = matched(lines, ["id", "u", "line"], templates, threshold)
-    first = F.max(F.struct("similarity", (-F.col("line")).alias("l"), "license")).alias("b")
-    header = header.groupBy("id", "u").agg(first).select("id", "u", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"), F.lit("header").alias("via"))
-    wholes = matched(some.select("id", "u", F.col("text").alias("unit")), ["id", "u"], templates, threshold).withColumn("via", F.lit("file"))
-    found = header.unionByName(wholes)
-    files_of = some.select("u", "path").distinct().join(found, "u")
-    own = scratch(found.groupBy("id").agg(F.max(F.struct("similarity", "via", "license")).alias("b")).select("id", "b.*"))
+    known = base.where("id is not null").withColumn("u", F.xxhash64("id", "path", "text")).withColumn("file", named)
+    wholes = known.where("file").select("id", "u", "file", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.col("text").alias("unit"))
+    some = scratch(units(known).unionByName(wholes).where(near(F.col("unit"), templates, threshold)))
+    keys = ["id", "u", "file", "kind", "pos"]
+    first = F.max(F.struct("similarity", (-F.col("kind")).alias("k"), (-F.col("pos")).alias("p"), "license")).alias("b")
+    found = scratch(matched(some, keys, templates, threshold).groupBy("id", "u", "file").agg(first).select("id", "u", "file", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity")))
+    via = F.when(F.col("file"), "file").otherwise("header").alias("via")
+    own = scratch(found.select("id", "license", "similarity", via).groupBy("id").agg(F.max(F.struct("similarity", "via", "license")).alias("b")).select("id", "b.*"))
 
     # the licence of each directory that has a licence file, and the nearest of those above each directory
-    given = files_of.withColumn("dir", directory(F.col("path"))).withColumn("r", F.row_number().over(W.partitionBy("dir").orderBy(F.desc("similarity"), "license"))).where("r = 1").select(F.col("dir").alias("above"), F.col("license").alias("l"), F.col("similarity").alias("s"))
-    given = scratch(given)
+    files_of = known.where("file").select("u", "path").distinct().join(found.where("file"), "u")
+    given = files_of.select(directory(F.col("path")).alias("above"), "license", "similarity").groupBy("above", "similarity").agg(F.min("license").alias("license"))
+    given = scratch(given.groupBy("above").agg(F.max(F.struct("similarity", "license")).alias("g")).select("above", F.col("g.license").alias("l"), F.col("g.similarity").alias("s")))
     dirs = base.where("path is not null").select(directory(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
-    above = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("/", F.slice(parts, 1, k))))).alias("above"))
-    nearest = above.distinct().join(given, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "l", "s")).alias("g")).select("dir", "g.l", "g.s")
+    above = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("/", F.slice(parts, 1, k))))).alias("above")).distinct()
+    if given.count() <= FEW:
+        met = above.join(F.broadcast(given), "above")
+    else:  # a directory near the root is above most others
+        copies = given.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = above.withColumn("salt", F.pmod(F.xxhash64("dir"), F.lit(SALTS)).cast("int")).join(copies, ["above", "salt"])
+    nearest = met.groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "l", "s")).alias("g")).select("dir", "g.l", "g.s")
     out = base.select("id", "path", directory(F.col("path")).alias("dir")).join(own, "id", "left").join(nearest, "dir", "left")
     return out.select(F.col("id").alias(id), F.col("path").alias(path), F.coalesce("license", "l").alias("license"), F.coalesce("similarity", "s", F.lit(0.0)).alias("similarity"), F.coalesce("via", F.when(F.col("l").isNotNull(), F.lit("inherited"))).alias("via"))
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Licences of all documents. The table has no paths, so they are laid out as files of their source: fifty twenties
+    of ids are a directory, of which every tenth of twenties are its licence files, and ten twenties a directory in it,
+    where a tenth, too, are licence files."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    return scan(docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))))
+    k = "doc_id div 20"
+    outer = F.concat_ws("/", "source", F.expr(f"cast({k} div 50 as string)"))
+    inner = F.concat_ws("/", outer, F.expr(f"cast({k} % 50 div 10 as string)"))
+    name = F.col("doc_id").cast("string")
+    path = F.when(F.expr(f"{k} % 10 = 0"), F.concat(outer, F.lit("/LICENSE."), name)).when(F.expr(f"{k} % 10 = 5"), F.concat(inner, F.lit("/COPYING."), name)).otherwise(F.concat(inner, F.lit("/"), name))
+    return scan(docs.withColumn("path", F.when(F.col("doc_id").isNotNull() & F.col("source").isNotNull(), path)))
 
 
 def oracle() -> str:
-    """op6 in SQL; none of its paths names a licence file, so nothing is inherited there."""
+    """op6 in SQL."""
     idf, unknown, rows = weights(TEMPLATES)
-    known = ", ".join(f"('{w}', {v!r})" for w, v in sorted(idf.items()))
-    frame = ", ".join(f"({k}, '{name}', '{w}', {x!r})" for k, name, w, x in rows)
-    marks = lambda c: " OR ".join(f"contains(lower({c}), '{m}')" for m in MARKERS)
+    known = ", ".join(f"('{w}', {v!r}::DOUBLE)" for w, v in sorted(idf.items()))
+    frame = ", ".join(f"({k}, '{name}', '{w}', {x!r}::DOUBLE)" for k, name, w, x in rows)
+    k = "doc_id // 20"
+    inner = f"source || '/' || ({k} // 50) || '/' || ({k} % 50 // 10)"
     return f"""WITH idf(term, idf) AS (VALUES {known}), tpl(template, license, term, w) AS (VALUES {frame}),
-d AS (SELECT doc_id, string_split_regex(text, '[\r\n]+') AS l FROM documents WHERE doc_id IS NOT NULL AND ({marks("text")})),
-ln AS (SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS line FROM d),
-tf AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM ln WHERE {marks("unit")}) GROUP BY ALL),
-v AS (SELECT doc_id, line, term, tf * coalesce(idf, {unknown!r}) AS x FROM tf LEFT JOIN idf USING (term)),
-nrm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS n FROM v GROUP BY ALL),
-dot AS (SELECT doc_id, line, template, license, sum(x * w) AS dot FROM v JOIN tpl USING (term) GROUP BY ALL),
-sim AS (SELECT doc_id, line, template, license, round(dot / n, 6) AS similarity FROM dot JOIN nrm USING (doc_id, line)),
-best AS (SELECT doc_id, license, similarity FROM sim WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, template) = 1)
-SELECT doc_id, concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, license, coalesce(similarity, 0.0) AS similarity, CASE WHEN license IS NOT NULL THEN 'header' END AS via FROM documents LEFT JOIN best USING (doc_id)"""
+d AS (SELECT *, path IS NOT NULL AND regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{FILE_NAME}') AS file, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS dir FROM (
+  SELECT doc_id, text, CASE WHEN {k} % 10 = 0 THEN source || '/' || ({k} // 50) || '/LICENSE.' || doc_id WHEN {k} % 10 = 5 THEN {inner} || '/COPYING.' || doc_id ELSE {inner} || '/' || doc_id END AS path FROM documents)),
+cut AS (SELECT doc_id, 0 AS kind, string_split_regex(text, '{LINES}') AS l FROM d UNION ALL SELECT doc_id, 1, string_split_regex(text, '{PARAGRAPHS}') FROM d UNION ALL SELECT doc_id, 2, [text] FROM d WHERE file),
+un AS (SELECT doc_id, kind, unnest(l) AS unit, generate_subscripts(l, 1) AS pos FROM cut WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, kind, pos, term, count(*) AS tf FROM (SELECT doc_id, kind, pos, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM un WHERE kind <> 1 OR regexp_matches(unit, '{SEVERAL}')) GROUP BY ALL),
+v AS (SELECT doc_id, kind, pos, term, tf * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM tf LEFT JOIN idf USING (term)),
+nrm AS (SELECT doc_id, kind, pos, sqrt(sum(x * x)) AS n FROM v GROUP BY ALL),
+dot AS (SELECT doc_id, kind, pos, template, license, sum(x * w) AS dot FROM v JOIN tpl USING (term) GROUP BY ALL),
+sim AS (SELECT doc_id, kind, pos, template, license, round(dot / n, 6) AS similarity FROM dot JOIN nrm USING (doc_id, kind, pos)),
+best AS (SELECT doc_id, license, similarity FROM sim WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, kind, pos, template) = 1),
+giv AS (SELECT dir AS above, license, similarity FROM d JOIN best USING (doc_id) WHERE file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license) = 1),
+inh AS (SELECT doc_id, license, similarity FROM d JOIN giv ON above = '' OR dir = above OR starts_with(dir, above || '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(above) DESC) = 1)
+SELECT doc_id, path, coalesce(best.license, inh.license) AS license, coalesce(best.similarity, inh.similarity, 0.0) AS similarity, CASE WHEN best.license IS NOT NULL THEN CASE WHEN file THEN 'file' ELSE 'header' END WHEN inh.license IS NOT NULL THEN 'inherited' END AS via
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN inh USING (doc_id)"""

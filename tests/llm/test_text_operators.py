@@ -325,10 +325,62 @@ def test_licenses(spark):
     ]
     df = spark.createDataFrame([(*r, "own", 0.5) for r in rows], "doc_id long, path string, text string, license string, similarity double").repartition(3)
     got = sorted([(r["doc_id"] or 0, r["license"], r["via"]) for r in licenses.scan(df).collect()], key=str)
-    assert got == sorted([(1, "Apache-2.0", "header"), (2, "GPL-3.0", "inherited"), (3, "GPL-3.0", "header"), (4, "MIT", "header"), (5, None, None), (6, None, None), (7, "Apache-2.0", "inherited"), (7, "Apache-2.0", "inherited"), (0, "GPL-3.0", "inherited"), (8, None, None), (9, "Proprietary", "header")], key=str)
+    assert got == sorted([(1, "Apache-2.0", "file"), (2, "GPL-3.0", "inherited"), (3, "GPL-3.0", "file"), (4, "MIT", "header"), (5, None, None), (6, None, None), (7, "Apache-2.0", "inherited"), (7, "Apache-2.0", "inherited"), (0, "GPL-3.0", "inherited"), (8, None, None), (9, "Proprietary", "header")], key=str)
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_texts_of_licences(spark):
+    wrap = lambda t, lead="": "\n".join(lead + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    mit = max((t for n, t in licenses.BODIES if n == "MIT"), key=len)
+    mpl = max((t for n, t in licenses.BODIES if n == "MPL-2.0"), key=len)
+    rows = [
+        ("MIT", "mit/LICENSE", f"MIT License\n\nCopyright (c) 2024 Some Body\n\n{wrap(mit)}\n"),
+        ("MIT", "a.py", "# SPDX-License-Identifier: MIT\nimport os"),
+        ("Apache-2.0", "b.py", "// SPDX-License-Identifier: Apache-2.0\n"),
+        ("MPL-2.0", "c.js", f"/*\n{wrap(mpl, ' * ')}\n */\nvar x = 1;"),
+        ("Proprietary", "d.txt", "Copyright (c) 2024 X. All rights reserved."),
+        ("GPL-2.0", "two/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Everyone is permitted to copy and distribute verbatim copies."),
+        ("GPL-3.0", "three/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies."),
+        ("GPL-3.0", "three/deep/er/x.c", "int main;"),
+        (None, "e.md", "The licence of the software is to be said."),
+        (None, "f.md", "SPDX-License-Identifier: Unheard-Of"),
+    ]
+    df = spark.createDataFrame([(k, p, t) for k, (_, p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert [got[k]["license"] for k in range(len(rows))] == [n for n, _, _ in rows]
+    assert {got[0]["via"], got[5]["via"], got[6]["via"]} == {"file"} and got[7]["via"] == "inherited"
+
+
+def test_inheritance_against_brute_force(spark, monkeypatch):
+    """With a directory that most files lie below; joined by broadcast and by shuffles."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(400):
+        depth = rng.choice([0, 1, 1, 2, 3, 5])
+        at = "/".join(["hot" if i == 0 and rng.random() < 0.8 else rng.choice("ab") for i in range(depth)])
+        given = rng.random() < 0.08
+        rows.append((k, f"{at}/" * bool(at) + (f"LICENSE{k}" if given else f"f{k}"), rng.choice(["Released under the MIT License.", "Licensed under CC BY 4.0."]) if given else "x"))
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    own = {k: "MIT" if "MIT" in t else "CC-BY-4.0" for k, p, t in rows if t != "x"}
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    by = {}
+    for k, p, _ in rows:
+        if k in own:
+            by[folder(p)] = min(own[k], by.get(folder(p), own[k]))
+
+    def want(k, p):
+        if k in own:
+            return own[k], "file"
+        d = folder(p)
+        while d and d not in by:
+            d = folder(d)
+        return (by[d], "inherited") if d in by else (None, None)
+
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(licenses, "FEW", few)
+        assert {r["doc_id"]: (r["license"], r["via"]) for r in licenses.scan(df).collect()} == {k: want(k, p) for k, p, _ in rows}
+
+
 def test_every_line_within_the_threshold_is_compared(spark):
     idf, unknown, rows = licenses.weights(licenses.TEMPLATES)
 
@@ -349,7 +401,7 @@ def test_every_line_within_the_threshold_is_compared(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("path", F.lit("x"))
     got = {r["doc_id"]: r["similarity"] for r in licenses.scan(df).collect() if r["license"]}
     assert got == {k: pytest.approx(cosine(x), abs=2e-6) for k, x in enumerate(lines) if round(cosine(x), 6) >= 0.6}
-    assert 0 in got and any(not any(m in lines[k].lower() for m in licenses.MARKERS) for k in list(got)[1:])
+    assert 0 in got and len(got) > 100
 
 
 def test_a_small_source_with_a_target_keeps_its_share(spark):
