@@ -40,7 +40,7 @@ def words(text: Column) -> Column:
 
 
 def hashtags(text: Column) -> Column:
-    return F.transform(F.filter(words(text), lambda w: (F.length(w) > 1) & w.startswith("#")), lambda w: F.substring(w, 2, 1_000_000))
+    return F.transform(F.filter(words(text), lambda w: (F.length(w) > 1) & w.startswith("#")), lambda w: F.substr(w, F.lit(2)))
 
 
 def mahalanobis(x: Column, mean: Column, std: Column) -> Column:
@@ -58,11 +58,14 @@ def pearson(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column, syy: Co
 def dense_index(df, column: str, name: str = "index"):
     """Distinct non-null values of a column with their place in sorted order, from 0.
 
-    The values are range-partitioned and numbered by part, so no task sorts all of them.
+    The values are range-partitioned and numbered by part, so no task sorts all of them; the numbers within parts are
+    written before they are used twice, as parts could be put together differently otherwise.
     """
+    from siftmine.sources.scratch import settled
+
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
     ranged = values.repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(column)))
+    within = settled(ranged.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(column))))
     sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return within.join(F.broadcast(base), "_part").select(column, (F.col("_base") + F.col("_rank") - 1).cast("long").alias(name))

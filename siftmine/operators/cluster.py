@@ -18,6 +18,9 @@ from siftmine.sources.scratch import settled
 from siftmine.sources.shipping import ship
 
 
+MOST_CLUSTERS = 10_000
+
+
 def summaries(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """cluster, n, mean and std (population) arrays."""
     parts = points.select(cluster, F.posexplode("features").alias("d", "x")).groupBy(cluster, "d").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
@@ -28,11 +31,13 @@ def summaries(points: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 def nearest(points: DataFrame, stats: DataFrame, limit: float) -> DataFrame:
     """id, cluster, distance: the nearest cluster (ties by its number) if it is closer than the limit, else -1.
-    stats has a row for each cluster and goes to every task."""
-    points = points.select("id", "features")
-    d = points.crossJoin(F.broadcast(stats)).select("id", "cluster", mahalanobis(F.col("features"), F.col("mean"), F.col("std")).alias("distance"))
-    best = d.where(~F.isnan("distance")).groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("b"))
-    out = points.select("id").join(best, "id", "left")
+    stats, of at most MOST_CLUSTERS rows, goes to every task as one row; each point is compared with it where it lies."""
+    if stats.count() > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    all_of = stats.agg(F.collect_list(F.struct("cluster", "mean", "std")).alias("of"))
+    distances = F.transform("of", lambda s: F.struct(mahalanobis(F.col("features"), s["mean"], s["std"]).alias("distance"), s["cluster"].alias("cluster")))
+    best = F.array_min(F.filter(distances, lambda d: ~F.isnan(d["distance"])))
+    out = points.select("id", "features").join(F.broadcast(all_of)).select("id", best.alias("b"))
     hit = F.col("b.distance") < limit
     return out.select("id", F.when(hit, F.col("b.cluster")).otherwise(-1).cast("int").alias("cluster"), F.col("b.distance").alias("distance"))
 
@@ -89,7 +94,8 @@ def bfr(points: DataFrame, k: int, share: float = 0.2, mode: str = "batched", co
     discard summaries, and what was set aside is clustered into compressed ones. Each further share is a round: a
     point goes to the nearest discard summary within 2 sqrt(dims) deviations, else the nearest compressed one, else to
     the retained set. mode='batched' compares a whole round with the summaries at its start, in parallel;
-    'sequential' updates after each point, in order, on the driver. The driver holds the summaries only.
+    'sequential' updates after each point, in order, on the driver, which holds the numbers of a round's points with their
+    clusters; otherwise the driver holds the summaries only.
     """
     if mode not in ("batched", "sequential"):
         raise ValueError(mode)

@@ -17,6 +17,11 @@ def baskets(df: DataFrame, basket: str, item: str, larger_than: int | None = Non
     return pairs.join(big, "basket", "left_semi")
 
 
+def sorted_baskets(pairs: DataFrame) -> DataFrame:
+    """basket and its items in order, as an array."""
+    return pairs.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+
 def frequent(pairs: DataFrame, support: int, most: int | None = None) -> DataFrame:
     """All itemsets in at least `support` baskets, by size: (items sorted, n); those of up to `most` items if given.
 
@@ -25,7 +30,7 @@ def frequent(pairs: DataFrame, support: int, most: int | None = None) -> DataFra
     from a table, which cuts their lineage. Stops at the first empty level.
     """
     singles = pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    kept = pairs.join(singles.select("item"), "item", "left_semi").cache()
+    kept = settled(pairs.join(singles.select("item"), "item", "left_semi"))
     out = singles.select(F.array("item").alias("items"), "n")
     level = kept.select("basket", F.slice(F.array("item"), 1, 0).alias("head"), F.col("item").alias("last"))
     size = 1
@@ -33,7 +38,7 @@ def frequent(pairs: DataFrame, support: int, most: int | None = None) -> DataFra
         size += 1
         more = level.select("basket", "head", F.col("last").alias("next"))
         grown = level.join(more, ["basket", "head"]).where(F.col("next") > F.col("last")).select("basket", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last"))
-        counts = grown.groupBy("head", "last").agg(F.count("*").alias("n")).where(F.col("n") >= support).cache()
+        counts = settled(grown.groupBy("head", "last").agg(F.count("*").alias("n")).where(F.col("n") >= support))
         if counts.isEmpty():
             break
         out = out.unionByName(counts.select(F.concat("head", F.array("last")).alias("items"), "n"))
@@ -45,11 +50,13 @@ def frequent(pairs: DataFrame, support: int, most: int | None = None) -> DataFra
 def candidates(pairs: DataFrame, support: int, parts: int) -> DataFrame:
     """Itemsets that reach support / parts within one of `parts` shares of the baskets: (items, parts that have it).
 
-    Every frequent itemset is among them. Which others are depends on how baskets are dealt, here by their hash.
+    Every frequent itemset is among them. Which others are depends on how baskets are dealt: numbers by their
+    remainder, others by their hash.
     """
+    whole = dict(pairs.dtypes)["basket"] in ("tinyint", "smallint", "int", "bigint")
     share = -(-support // parts)
     out = None
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("basket"), F.lit(parts)))
+    dealt = pairs.withColumn("part", F.pmod(F.col("basket") if whole else F.xxhash64("basket"), F.lit(parts)))
     for k in range(parts):
         one = frequent(dealt.where(F.col("part") == k).drop("part"), share).select("items", F.lit(k).alias("part"))
         out = one if out is None else out.unionByName(one)

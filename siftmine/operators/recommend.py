@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmine.functions.scalar import clamp
+from siftmine.sources.scratch import settled
 
 from . import similarity
 
@@ -36,7 +37,7 @@ def als(train: DataFrame, test: DataFrame, rank: int = 2, iterations: int = 10,
 
 def user_cf(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Mean of the user and weighted deviations of the k nearest users, of those that rated the item; clamped to 0..5."""
-    train = one_rating(train).cache()
+    train = settled(one_rating(train))
     near = neighbours(similarity.correlations(train, "u", "i", "stars"), k)
     means = train.groupBy("u").agg(F.avg("stars").alias("mean"))
     theirs = train.join(means, "u").select(F.col("u").alias("other"), "i", (F.col("stars") - F.col("mean")).alias("d"))
@@ -50,7 +51,7 @@ def user_cf(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
 def item_cf(train: DataFrame, test: DataFrame, k: int = 2, pairs: DataFrame | None = None) -> DataFrame:
     """Weighted stars that the user gave to the item's k nearest items; the item's mean without any; clamped to 0..5.
     Only items of the given pairs (id1, id2) are neighbours, if any are given."""
-    train = one_rating(train).cache()
+    train = settled(one_rating(train))
     near = neighbours(similarity.correlations(train, "i", "u", "stars", pairs), k)
     means = train.groupBy("i").agg(F.avg("stars").alias("mean"))
     asked = test.select("u", "i").distinct()

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmine.functions.scalar import affine_hash, dense_index, pearson
+from siftmine.sources.scratch import settled
 
 # Fixed values: (a, b, p) of the hash functions ((a e + b) mod p) mod m.
 MINHASHES = [(29, 43, 709), (1069, 457, 163), (37, 101, 97), (171, 12, 2063), (542, 2780, 10289), (862, 123, 9817), (212, 3, 5393), (142, 7173, 6997), (982, 19, 10861), (333, 709, 191), (183, 523, 5503), (972, 102, 659), (199, 6607, 491), (241, 619, 1033), (983, 991, 587), (233, 41, 991), (1303, 59, 5843), (419, 53, 9001)]
 ROWS = 2
+HOT = 2000  # rows of a key that meet one another in one task
 
 
 def elements(df: DataFrame, set_id: str, element: str) -> tuple[DataFrame, int]:
     """Distinct (set_id, e), e the element's place among all sorted elements, and their number."""
     pairs = df.select(F.col(set_id).alias("set_id"), F.col(element).alias("element")).where("set_id is not null and element is not null").distinct()
-    index = dense_index(pairs, "element", "e").cache()
+    index = settled(dense_index(pairs, "element", "e"))
     return pairs.join(index, "element").select("set_id", "e"), index.count()
 
 
@@ -50,18 +55,54 @@ def jaccard(pairs: DataFrame, members: DataFrame, threshold: float = 0.5) -> Dat
     return both.select("id1", "id2", (F.col("i") / (F.col("n1") + F.col("n2") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def near_by_prefix(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that may be within the threshold: of each set, ordered by how rare its elements are, the first
+    n - ceil(t n) + 1 count, and similar sets share one of those, with enough of both sets left behind it."""
+    rarity = members.groupBy("e").agg(F.count("*").alias("df"))
+    in_set = W.partitionBy("set_id")
+    ranked = members.join(rarity, "e").withColumn("r", F.row_number().over(in_set.orderBy("df", "e"))).withColumn("n", F.count("*").over(in_set))
+    first = settled(ranked.where((F.col("df") > 1) & (F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)).select("set_id", "e", "r", "n"))
+    left, right = dealt(first, "e", "set_id")
+    a, b = left.alias("a"), right.alias("b")
+    same = (F.col("a.e") == F.col("b.e")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.set_id") < F.col("b.set_id"))
+    sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
+    rest = 1 + F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    return a.join(b, same & sizes & rest).select(F.col("a.set_id").alias("id1"), F.col("b.set_id").alias("id2")).distinct()
+
+
+def dealt(rows: DataFrame, key: str, who: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of rows with one another on (key, salt): rows of a hot key are dealt out on the left and
+    copied on the right, so that no task has to pair them all."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > HOT).select(key, F.ceil(F.col("m") / HOT).cast("int").alias("of"))
+    told = rows.join(hot, key, "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    return told.withColumn("salt", F.pmod(F.xxhash64(who), "of").cast("int")).drop("of"), told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+
+
 def similar_pairs(df: DataFrame, set_id: str, element: str, threshold: float = 0.5) -> DataFrame:
+    """Pairs that agree in a whole band and whose similarity is at least the threshold: id1, id2, similarity.
+
+    Bands of hashes with small moduli yield far more pairs than are similar, so pairs come from near_by_prefix(), which
+    loses none within the threshold, and are kept if they agree in a band; sets are read for those alone.
+    """
     members, m = elements(df, set_id, element)
-    members = members.cache()
-    return jaccard(candidate_pairs(signatures(members, m)), members, threshold)
+    members = settled(members)
+    sigs = settled(signatures(members, m))
+    names = [f"h{k}" for k in range(len(MINHASHES))]
+    side = lambda k: sigs.select(F.col("set_id").alias(f"id{k}"), F.array(*names).alias(f"s{k}"))
+    near = near_by_prefix(members, threshold).join(side(1), "id1").join(side(2), "id2")
+    agree = reduce(lambda x, y: x | y, [F.slice("s1", k + 1, ROWS) == F.slice("s2", k + 1, ROWS) for k in range(0, len(names), ROWS)])
+    return jaccard(settled(near.where(agree).select("id1", "id2")), members, threshold)
 
 
 def correlations(ratings: DataFrame, one: str, by: str, value: str, pairs: DataFrame | None = None) -> DataFrame:
     """Pearson correlation of pairs of `one` over the `by` that both have: id1 < id2, similarity. Only the given pairs, if any."""
     r = ratings.select(F.col(one).alias("o"), F.col(by).alias("b"), F.col(value).cast("double").alias("v"))
-    a, c = r.alias("a"), r.alias("c")
-    both = a.join(c, (F.col("a.b") == F.col("c.b")) & (F.col("a.o") < F.col("c.o"))).select(F.col("a.o").alias("id1"), F.col("c.o").alias("id2"), F.col("a.v").alias("x"), F.col("c.v").alias("y"))
-    if pairs is not None:
-        both = both.join(pairs.select("id1", "id2"), ["id1", "id2"], "left_semi")
+    if pairs is None:
+        left, right = dealt(r, "b", "o")
+        a, c = left.alias("a"), right.alias("c")
+        both = a.join(c, (F.col("a.b") == F.col("c.b")) & (F.col("a.salt") == F.col("c.salt")) & (F.col("a.o") < F.col("c.o"))).select(F.col("a.o").alias("id1"), F.col("c.o").alias("id2"), F.col("a.v").alias("x"), F.col("c.v").alias("y"))
+    else:
+        first = pairs.select("id1", "id2").join(r.select(F.col("o").alias("id1"), "b", F.col("v").alias("x")), "id1")
+        both = first.join(r.select(F.col("o").alias("id2"), "b", F.col("v").alias("y")), ["id2", "b"])
     s = both.groupBy("id1", "id2").agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxy", F.col("x") * F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")))])
     return s.select("id1", "id2", pearson(*[F.col(k) for k in ("n", "sx", "sy", "sxy", "sxx", "syy")]).alias("similarity"))

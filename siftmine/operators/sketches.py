@@ -84,8 +84,8 @@ def fm_estimate(stream: DataFrame, ts: str, value: str, window: str, slide: str,
 
 
 def draw(n, seed: int):
-    """A number from 1 to n for row n, the same in any engine; products stay below 2^63 for n below 2^31."""
-    return ((n * 1103515245 + seed * 12345) % 2147483648) % n + 1
+    """A number from 1 to n for row n, the same in any engine; n is reduced first, so that products stay below 2^63."""
+    return (((n % 2147483648) * 1103515245 + seed * 12345) % 2147483648) % n + 1
 
 
 def reservoir(stream: DataFrame, order: str, seed: int = 42, size: int = 100) -> DataFrame:

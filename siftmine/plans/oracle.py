@@ -139,6 +139,8 @@ ORACLE_SQL = {
     "frequent_swapped": frequent(SWAPPED, 33, (1, 2)),
     "frequent_fp_growth": frequent(BRANDS, 350, (1, 2)),
     "son_frequent": frequent(BRANDS, 350, (1, 2, 3)),
+    "son_candidates": "SELECT items, count(*) AS parts FROM (" + " UNION ALL ".join(f"SELECT items FROM ({frequent(f'SELECT basket, item FROM ({BRANDS}) WHERE basket % 2 = {k}', 175, (1, 2, 3))})" for k in range(2)) + ") GROUP BY items",
+    "sorted_baskets": f"SELECT basket, string_agg(item, '|' ORDER BY item) AS items FROM ({LARGE}) GROUP BY basket",
     "minhash_signatures": f"WITH {minhash(WORDS)} SELECT set_id AS doc_id, * EXCLUDE (set_id) FROM sig",
     "lsh_candidates": f"WITH {minhash(WORDS)}, {BANDS} SELECT * FROM cand",
     "lsh_similar_pairs": f"WITH {minhash(WORDS)}, {BANDS}, {SIMILAR} SELECT id1, id2, round(similarity, 6) AS similarity FROM sim",

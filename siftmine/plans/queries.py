@@ -66,7 +66,13 @@ def son_frequent(spark, d) -> DataFrame:
 
 
 def son_candidates(spark, d) -> DataFrame:
-    return itemsets.son(itemsets.baskets(T.order_brands(spark, d), "l_orderkey", "p_brand"), 350)[0]
+    found = itemsets.son(itemsets.baskets(T.order_brands(spark, d), "l_orderkey", "p_brand"), 350)[0]
+    return found.select(F.array_join("items", "|").alias("items"), "parts")
+
+
+def sorted_baskets(spark, d) -> DataFrame:
+    found = itemsets.sorted_baskets(itemsets.baskets(T.order_brands(spark, d), "l_orderkey", "p_brand", larger_than=5))
+    return found.select("basket", F.array_join("items", "|").alias("items"))
 
 
 def minhash_signatures(spark, d) -> DataFrame:
@@ -181,5 +187,5 @@ def stream_trending(spark, d) -> DataFrame:
     return jobs.run_trending(spark, d)
 
 
-NAMES = "review_stats top10_users top10_items grouped_mean_topk partition_layout frequent_pairs frequent_triples frequent_large_baskets frequent_swapped frequent_fp_growth son_frequent son_candidates minhash_signatures lsh_candidates lsh_similar_pairs user_pearson user_cf item_cf lsh_item_cf cf_rmse als_predictions overlap_graph label_propagation connected_components edge_betweenness modularity communities mahalanobis_assign bfr_rounds bfr_clusters bloom_fpr fm_estimate reservoir_sample trending_tags stream_fm stream_bloom stream_reservoir stream_trending".split()
+NAMES = "review_stats top10_users top10_items grouped_mean_topk partition_layout frequent_pairs frequent_triples frequent_large_baskets frequent_swapped frequent_fp_growth son_frequent son_candidates sorted_baskets minhash_signatures lsh_candidates lsh_similar_pairs user_pearson user_cf item_cf lsh_item_cf cf_rmse als_predictions overlap_graph label_propagation connected_components edge_betweenness modularity communities mahalanobis_assign bfr_rounds bfr_clusters bloom_fpr fm_estimate reservoir_sample trending_tags stream_fm stream_bloom stream_reservoir stream_trending".split()
 QUERIES = {n: globals()[n] for n in NAMES}

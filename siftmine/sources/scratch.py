@@ -4,13 +4,35 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/checkpoints"
+    return root.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder of spark.checkpoint.dir and read it back, so that a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The table stays until clear(), as results that are computed later may read it.
+    """
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{root}/siftmine-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/siftmine-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that settled() wrote; for when no result that was built on them is read again."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
