@@ -1,8 +1,8 @@
 """Licence scans with DataFrame operations only.
 
 Lines, paragraphs (headers run over several lines) and licence files are compared with templates by the cosine of
-sparse TF-IDF vectors; a file that has no licence of its own takes that of the nearest directory above it that has a
-licence file, found by joins on paths.
+sparse TF-IDF vectors, with 1 + ln tf; a file that has no licence of its own takes that of the nearest directory above
+it that has a licence file, found by joins on paths.
 """
 
 from __future__ import annotations
@@ -69,17 +69,22 @@ BODIES = [
 TEMPLATES = NOTICES + BODIES + [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in NOTICES) if name != "Proprietary"]
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+# Words that say nothing of a licence; neither texts nor templates have them as terms.
+LITTLE = "a all an and any are as at be been but by can do for from had has have if in is it its may no nor not of on one or other out so such that the these this those to was were which whom will with you your".split()
 FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying"
 LINES = "[\r\n]+"
 # lines without a letter or digit part paragraphs, as in comments
 PARAGRAPHS = "[\r\n][^A-Za-z0-9\r\n]*[\r\n][^A-Za-z0-9]*"
-SEVERAL = "[A-Za-z0-9][^\r\n]*[\r\n]+[^A-Za-z0-9]*[A-Za-z0-9]"
 FEW = 1_000_000  # rows that may be sent to every task
 SALTS = 16
 
 
 def terms_of(text: str) -> list[str]:
-    return re.findall(TERM, text.lower())
+    return [w for w in re.findall(TERM, text.lower()) if w not in LITTLE]
+
+
+def terms(unit: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(unit), F.lit(TERM), F.lit(0)), lambda w: ~w.isin(LITTLE))
 
 
 def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
@@ -92,17 +97,43 @@ def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float,
     idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
     rows = []
     for k, ((name, _), bag) in enumerate(zip(templates, bags)):
-        v = {w: bag.count(w) * idf[w] for w in set(bag)}
+        v = {w: (1 + math.log(bag.count(w))) * idf[w] for w in set(bag)}
         norm = math.sqrt(sum(x * x for x in v.values()))
         rows += [(k, name, w, v[w] / norm) for w in sorted(v)]
     return idf, math.log(1 + len(bags)) + 1, rows
 
 
+def telling(templates: list[tuple[str, str]], threshold: float) -> list[str] | None:
+    """Terms one of which every text within the threshold of a template has; None if there are none such.
+
+    A text without any of some terms has, by Cauchy and Schwarz, a cosine of at most the norm of what is left of the
+    template's unit vector without them. So terms are taken, those first that bring most templates nearest to their end, until less than the threshold is left of each.
+    """
+    if threshold <= 1e-6:
+        return None
+    least, vectors, left, taken = (threshold - 1e-6) ** 2, {}, {}, []
+    for k, _, w, x in weights(templates)[2]:
+        vectors.setdefault(k, {})[w] = x * x
+        left[k] = left.get(k, 0.0) + x * x
+    while open_ := [k for k, x in left.items() if x >= least * (1 - 1e-9)]:
+        gain: dict[str, float] = {}
+        for k in open_:
+            for w, x in vectors[k].items():
+                if w not in taken:
+                    gain[w] = gain.get(w, 0.0) + min(x, left[k] - least + 1e-6)
+        best = max(sorted(gain), key=gain.get)
+        taken.append(best)
+        for k in open_:
+            left[k] -= vectors[k].get(best, 0.0)
+
+    return sorted(taken)
+
+
 def near(unit: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
     """Whether a text can be within the threshold of a template; false only for texts that can't.
 
-    With tf >= 1 the squared norm, the sum of (tf idf)^2 by term, is at least the sum of idf^2 over all occurrences, and
-    a template's dot product is a sum over occurrences too. So what falls short by these sums does so by the cosine.
+    As 1 <= 1 + ln tf <= tf, the squared norm is at least the sum of idf^2 over the terms, and a template's dot product at
+    most a sum over all occurrences. So what falls short by these sums does so by the cosine.
     """
     idf, unknown, rows = weights(templates)
     zero = F.lit(0.0)
@@ -111,23 +142,19 @@ def near(unit: Column, templates: list[tuple[str, str]], threshold: float) -> Co
     for k, _, w, x in rows:
         most[w] = max(most.get(w, 0.0), x * idf[w])
         own.setdefault(k, {})[w] = x * idf[w]
-    letters: dict[str, list] = {}
-    for w in sorted(idf):  # looked up by first letter, then term, as maps are searched one by one
-        letters.setdefault(w[0], []).extend([F.lit(w), F.struct(F.lit(most[w]).alias("m"), F.lit(idf[w] ** 2).alias("q"))])
-    table = F.create_map(*[x for c, pairs in letters.items() for x in (F.lit(c), F.create_map(*pairs))])
-    look = lambda w: F.element_at(F.element_at(table, F.substring(w, 1, 1)), w)
+    square = {w: x * x for w, x in idf.items()}
     total = lambda of, terms: F.aggregate(terms, zero, lambda a, w: a + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair]), w), zero))
 
     def able(held: Column, count: Column) -> Column:
         def enough(sums: Column) -> Column:
-            least = (threshold - 1e-6) * F.sqrt(sums["q"] + (count - F.size(held)) * unknown * unknown)  # similarities are rounded to six places
-            return (sums["m"] >= least) & reduce(lambda a, b: a | b, [total(of, held) >= least for of in own.values()])
+            least = (threshold - 1e-6) * F.sqrt(sums + (count - F.size(F.array_distinct(held))) * unknown * unknown)  # similarities are rounded to six places
+            return (total(most, held) >= least) & reduce(lambda a, b: a | b, [total(of, held) >= least for of in own.values()])
 
-        return F.exists(F.array(F.aggregate(held, F.struct(zero.alias("m"), zero.alias("q")), lambda a, w: F.struct((a["m"] + look(w)["m"]).alias("m"), (a["q"] + look(w)["q"]).alias("q")))), enough)
+        return F.exists(F.array(total(square, F.array_distinct(held))), enough)
 
     # each step is bound to a variable, so that it is computed once
-    tokens = F.array(F.regexp_extract_all(F.lower(unit), F.lit(TERM), F.lit(0)))
-    halves = F.transform(tokens, lambda t: F.struct(F.filter(t, lambda w: w.isin(sorted(idf))).alias("held"), F.size(t).alias("n")))
+    tokens = F.array(terms(unit))
+    halves = F.transform(tokens, lambda t: F.struct(F.filter(t, lambda w: w.isin(sorted(idf))).alias("held"), F.size(F.array_distinct(t)).alias("n")))
     return F.exists(halves, lambda h: (F.size(h["held"]) > 0) & able(h["held"], h["n"]))
 
 
@@ -137,8 +164,8 @@ def matched(units: DataFrame, keys: list[str], templates: list[tuple[str, str]],
     idf, unknown, rows = weights(templates)
     frame = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))  # as many rows as the templates have terms
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    tf = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    v = tf.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    tf = units.select(*keys, F.explode(terms(F.col("unit"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    v = tf.join(known, "term", "left").withColumn("x", (1 + F.log("tf")) * F.coalesce("idf", F.lit(unknown)))
     norms = v.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = v.join(frame, "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     both = dots.join(norms, keys).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
@@ -153,7 +180,7 @@ def directory(path: Column) -> Column:
 def units(known: DataFrame) -> DataFrame:
     """Lines (kind 0) and paragraphs of several lines (kind 1) of known(id, u, text, file): id, u, file, kind, pos, unit."""
     cut = lambda pattern, kind: known.select("id", "u", "file", F.lit(kind).alias("kind"), F.posexplode(F.split("text", pattern)).alias("pos", "unit"))
-    return cut(LINES, 0).unionByName(cut(PARAGRAPHS, 1).where(F.col("unit").rlike(SEVERAL)))
+    return cut(LINES, 0).unionByName(cut(PARAGRAPHS, 1).where(F.col("unit").rlike(LINES)))
 
 
 def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
@@ -162,7 +189,7 @@ def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "
     A file's own licence is the best match of its lines, of its paragraphs of several lines, and, where its name is that
     of a licence file, of its whole text; via is `file` for licence files and `header` for others. Of equal matches
     the first line, then the first paragraph, then the whole, and the first template win. Everything is compared that
-    near() doesn't rule out. Otherwise the nearest directory above with a licence file that has one gives it
+    telling() and near() don't rule out. Otherwise the nearest directory above with a licence file that has one gives it
     (`inherited`, similarity of that file), of several there the best match, then the smallest identifier. Without any,
     license and via are null and similarity is 0. A null or empty text has no licence of its own, a null path inherits
     nothing, and rows with equal ids share what any of them matches. Rows without an id inherit, but their texts aren't
@@ -171,7 +198,9 @@ def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "
     base = files.select(F.col(id).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
     # u tells files with equal ids apart
-    known = base.where("id is not null").withColumn("u", F.xxhash64("id", "path", "text")).withColumn("file", named)
+    some = telling(templates, threshold)
+    known = base.where("id is not null")
+    known = (known if some is None else known.where(F.exists(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: w.isin(some)))).withColumn("u", F.xxhash64("id", "path", "text")).withColumn("file", named)
     wholes = known.where("file").select("id", "u", "file", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.col("text").alias("unit"))
     some = scratch(units(known).unionByName(wholes).where(near(F.col("unit"), templates, threshold)))
     keys = ["id", "u", "file", "kind", "pos"]
@@ -217,6 +246,7 @@ def oracle() -> str:
     idf, unknown, rows = weights(TEMPLATES)
     known = ", ".join(f"('{w}', {v!r}::DOUBLE)" for w, v in sorted(idf.items()))
     frame = ", ".join(f"({k}, '{name}', '{w}', {x!r}::DOUBLE)" for k, name, w, x in rows)
+    little = ", ".join(f"'{w}'" for w in LITTLE)
     k = "doc_id // 20"
     inner = f"source || '/' || ({k} // 50) || '/' || ({k} % 50 // 10)"
     return f"""WITH idf(term, idf) AS (VALUES {known}), tpl(template, license, term, w) AS (VALUES {frame}),
@@ -224,8 +254,8 @@ d AS (SELECT *, path IS NOT NULL AND regexp_matches(regexp_extract(path, '([^/]*
   SELECT doc_id, text, CASE WHEN {k} % 10 = 0 THEN source || '/' || ({k} // 50) || '/LICENSE.' || doc_id WHEN {k} % 10 = 5 THEN {inner} || '/COPYING.' || doc_id ELSE {inner} || '/' || doc_id END AS path FROM documents)),
 cut AS (SELECT doc_id, 0 AS kind, string_split_regex(text, '{LINES}') AS l FROM d UNION ALL SELECT doc_id, 1, string_split_regex(text, '{PARAGRAPHS}') FROM d UNION ALL SELECT doc_id, 2, [text] FROM d WHERE file),
 un AS (SELECT doc_id, kind, unnest(l) AS unit, generate_subscripts(l, 1) AS pos FROM cut WHERE doc_id IS NOT NULL),
-tf AS (SELECT doc_id, kind, pos, term, count(*) AS tf FROM (SELECT doc_id, kind, pos, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM un WHERE kind <> 1 OR regexp_matches(unit, '{SEVERAL}')) GROUP BY ALL),
-v AS (SELECT doc_id, kind, pos, term, tf * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM tf LEFT JOIN idf USING (term)),
+tf AS (SELECT doc_id, kind, pos, term, count(*) AS tf FROM (SELECT doc_id, kind, pos, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM un WHERE kind <> 1 OR regexp_matches(unit, '{LINES}')) WHERE term NOT IN ({little}) GROUP BY ALL),
+v AS (SELECT doc_id, kind, pos, term, (1 + ln(tf)) * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM tf LEFT JOIN idf USING (term)),
 nrm AS (SELECT doc_id, kind, pos, sqrt(sum(x * x)) AS n FROM v GROUP BY ALL),
 dot AS (SELECT doc_id, kind, pos, template, license, sum(x * w) AS dot FROM v JOIN tpl USING (term) GROUP BY ALL),
 sim AS (SELECT doc_id, kind, pos, template, license, round(dot / n, 6) AS similarity FROM dot JOIN nrm USING (doc_id, kind, pos)),
