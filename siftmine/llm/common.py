@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -66,6 +67,12 @@ def scratch(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Have the driver collect garbage, upon which Spark deletes the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read again."""
     for t in tables:

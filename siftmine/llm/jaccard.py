@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, discard, kept, scratch, ship
+from .common import components, discard, free, kept, scratch, ship
 
 # odd multipliers, one for each place in a shingle; any would do
 MULTIPLIERS = [np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % i) | 1) for i in range(64)]
@@ -38,7 +38,8 @@ COARSE = 64  # coordinates of the shortest count vectors
 TREE = 1024  # and at most of those in a tree
 FINEST = 1 << 16  # twice as many as a set has hashes, up to this, for the last bound
 LEAF = 16
-CHUNK = 1024  # points of a district that are joined at once
+FOREST = 192  # points of a district that are joined at once, at first
+CHUNK = 384  # and those of each side later
 FEW = 1_000_000  # rows of two numbers that may be sent to every task
 SALT = 256  # partners of a set for each copy of it
 NONE = np.iinfo(np.int64).max
@@ -407,20 +408,23 @@ class Join:
     def __init__(self, base: DataFrame, t: int, k: int, hot_rows: int, narrow: int):
         self.base, self.t, self.k, self.narrow = base, t, k, narrow
         spark = base.sparkSession
-        self.facts = scratch(base.mapInArrow(lambda b: _points(b, k, t, narrow), "doc_id long, place long, n long, h1 long, h2 long, w binary"))
-        rows = self.facts.where("w is not null")
-        self.rows, self.points = rows.withColumn("name", F.col("h1")), None
-        self.points = self._points_of(self.rows)
+        facts = scratch(base.mapInArrow(lambda b: _points(b, k, t, narrow), "doc_id long, place long, n long, h1 long, h2 long, w binary"))
+        rows = facts.where("w is not null")
+        named = rows.withColumn("name", F.col("h1"))
+        self.points = self._points_of(named)
         clash = [r["name"] for r in self.points.where("lo1 <> hi1 or lo2 <> hi2").select("name").collect()]  # 64 bits of different sets agree next to never
         if clash:
             discard(self.points)
-            self.rows = rows.withColumn("name", F.when(F.col("h1").isin(clash), F.col("h2")).otherwise(F.col("h1")))
-            self.points = self._points_of(self.rows)
+            named = rows.withColumn("name", F.when(F.col("h1").isin(clash), F.col("h2")).otherwise(F.col("h1")))
+            self.points = self._points_of(named)
             if not self.points.where("lo1 <> hi1 or lo2 <> hi2").isEmpty():
                 raise RuntimeError("names of different sets agree")
-        hot = self.facts.where("w is null").groupBy("h1", "place").agg(F.sum("n").alias("n"), F.min("h2").alias("least"))
+        self.rows = scratch(named.select("doc_id", "place", "n", "name"))
+        hot = facts.where("w is null").groupBy("h1", "place").agg(F.sum("n").alias("n"), F.min("h2").alias("least"))
         hot = hot.groupBy("h1").agg(F.sum("n").alias("n"), F.collect_list(F.struct("place", "least")).alias("by")).orderBy(F.desc("n"), "h1").limit(hot_rows).collect()
         hot.sort(key=lambda r: r["h1"] % (1 << 64))
+        discard(facts)
+        free(spark)
         codes = np.array([i * 256 + x["place"] for i, r in enumerate(hot) for x in r["by"]], np.int64)
         least = np.array([x["least"] for r in hot for x in r["by"]], np.int64)
         order = np.argsort(codes)
@@ -442,11 +446,14 @@ class Join:
         alone = starts & (F.col("more").isNull() | (100 * F.col("n") < t * F.col("more")))
         runs = once.where((F.col("salt") != 0) | ~alone).withColumn("run", F.sum(starts.cast("int")).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
         leader = F.when(F.col("salt") != 0, F.col("key")).otherwise(F.min("name").over(W.partitionBy("key", "salt", "run")))
-        return scratch(runs.select(leader.alias("leader"), "name").distinct())
+        out = scratch(runs.select(leader.alias("leader"), "name").distinct())
+        del keyed, once, runs, starts, alone, leader
+        free(self.base.sparkSession)
+        return out
 
     def chunked(self, led: DataFrame) -> DataFrame:
         """(leader, chunk, name): large districts in chunks, each with the leader."""
-        large = scratch(led.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select("leader", F.ceil(F.col("m") / CHUNK).cast("int").alias("of")))
+        large = scratch(led.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > FOREST).select("leader", F.ceil(F.col("m") / FOREST).cast("int").alias("of")))
         dealt = led.join(small(large), "leader", "left").select("leader", F.pmod(F.xxhash64("name"), F.coalesce("of", F.lit(1))).cast("int").alias("chunk"), "name")
         return dealt.unionByName(large.select("leader", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("chunk"), F.col("leader").alias("name")))
 
@@ -519,6 +526,7 @@ def jaccard_classes(docs: DataFrame, threshold: int = 80, words: int = 5, id: st
     links = join.verified(first)
     early = scratch(components(links))
     second = join.rest(led, early, first)
+    free(spark)
     late = join.verified(second)
     classes = components(links.unionByName(late))
     named = join.points.select("name", "rep").join(classes.withColumnRenamed("node", "name"), "name", "left").select("name", "rep", F.coalesce("component", "name").alias("class"))

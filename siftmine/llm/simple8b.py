@@ -193,14 +193,19 @@ def part_of(docs: DataFrame, n: int) -> Column:
     The bounds come from quantiles of doc_id alone, so no text is read for them.
     """
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or []
-    bounds, step = sorted(set(bounds))[: n - 1], 64
+    bounds = sorted(set(bounds))[: n - 1]
     if not bounds:
         return F.lit(0)
-    # first among every 64th bound, then among the next 64
-    every, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[::step]))
-    below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("doc_id")))
-    block = F.greatest(below(coarse) - 1, F.lit(0))
-    return F.coalesce((block * step + below(F.slice(every, block * step + 1, F.lit(step)))).cast("int"), F.lit(0))
+    # a tree of bounds, 16 to a node, so that few are looked at; each level is one literal, whatever its size
+    literal = lambda of: F.split(F.lit(",".join(map(str, of))), ",").cast("array<bigint>")
+    levels = [bounds]
+    while len(levels[-1]) > 16:
+        levels.append(levels[-1][::16])
+    at = F.lit(0)
+    for k, of in enumerate(reversed(levels)):  # bounds at or below the id, first among all of the highest level
+        first = at if not k else F.greatest(at - 1, F.lit(0)) * 16
+        at = first + F.size(F.filter(F.slice(literal(of), first + 1, F.lit(16)), lambda x: x <= F.col("doc_id")))
+    return F.coalesce(at.cast("int"), F.lit(0))
 
 
 def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, block_ids: int = 500_000, partitions: int | None = None) -> DataFrame:
@@ -250,6 +255,7 @@ def read_ids(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, as read back from the files."""
     from .common import table
 
     blocks = write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -106,6 +106,7 @@ def test_chunked_cells_give_the_same(spark, monkeypatch):
     docs = corpus(5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard, "FOREST", 4)
     monkeypatch.setattr(jaccard, "SALT", 2)
     monkeypatch.setattr(jaccard, "small", lambda t, most=0: t)  # joined by shuffles
     assert sorted((tuple(r)[:3] for r in jaccard.jaccard_classes(df, name_bits=3).collect()), key=str) == brute(docs)  # and names that agree
@@ -135,6 +136,7 @@ def test_a_large_class_over_widely_shared_hashes(spark, monkeypatch, hot_rows):
             w[rng.randrange(len(w))] = f"v{n}"
         docs.append((n, " ".join(w)))
     monkeypatch.setattr(jaccard, "CHUNK", 20)
+    monkeypatch.setattr(jaccard, "FOREST", 15)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert sorted((tuple(r)[:3] for r in jaccard.jaccard_classes(df, hot_rows=hot_rows).collect()), key=str) == brute(docs)
 
