@@ -114,7 +114,7 @@ def test_rows_are_told_apart_whatever_their_ids(spark):
     item = duckdb.sql(f"select text from '{SF}/benchmark.parquet' where text is not null order by length(text) limit 1").fetchone()[0]
     base, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     rows = [
-        (None, f"so: {item}", "en", "s"), (7, f"and {item}", "en", "s"), (7, base, "en", "s"), (7, other, "en", "s"), (None, base, "en", "s"), (9, other, "en", "s"), (9, "password: hunter2hunter2", "en", None), (None, None, None, None), (None, None, None, None),
+        (None, " ".join(f"c{i}" for i in range(40)) + f" so: {item}", "en", "s"), (7, f"and {item}", "en", "s"), (7, base, "en", "s"), (7, other, "en", "s"), (None, base, "en", "s"), (9, other, "en", "s"), (9, "password: hunter2hunter2", "en", None), (None, None, None, None), (None, None, None, None),
     ]
     names = ["score", "spans", "redacted", "_text", "found", "name", "class", "place", "i", "p", "best", "copies", "a.b", "_score"]
     extra = list(range(len(names)))
@@ -128,7 +128,7 @@ def test_rows_are_told_apart_whatever_their_ids(spark):
         docs = after
     assert left["near_duplicates"].count("(7, 'a0 a1')") == 1 and left["near_duplicates"].count("(None, 'a0 a1')") == 0
     assert left["near_duplicates"].count("(7, 'b0 b1')") == 1 and left["near_duplicates"].count("(9, 'b0 b1')") == 0
-    assert not any(item[:3] in x and ("so: " in x or "and " in x) for x in left["decontamination"]) and left["decontamination"].count("(None, '')") == 2
+    assert "(None, 'c0 c1')" in left["near_duplicates"] and not any("c0 c1" in x or "and" in x for x in left["decontamination"]) and left["decontamination"].count("(None, '')") == 2
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
 
 

@@ -28,28 +28,32 @@ def ids():
     return {r["doc_id"]: tok.encode(r["text"] or "", add_special_tokens=False).ids for r in rows("documents", SMALL)}
 
 
+def part_distance(p, t):
+    """Least edit distance of p to any part of t, by rows of the whole table."""
+    p, steps = np.array(list(p)), np.arange(len(p) + 1)
+    row, best = steps, len(p)
+    for c in t:
+        new = np.concatenate([[0], np.minimum(row[1:] + 1, row[:-1] + (p != c))])
+        row = np.minimum.accumulate(new - steps) + steps
+        best = min(best, int(row[-1]))
+    return best
+
+
 def test_op1(spark):
-    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["budget"]) for r in QUERIES["op1_decontamination"](spark, SMALL).collect()}
-    want = {}
-    items = [(r["item_id"], decontaminate.folded(r["text"])) for r in rows("benchmark", SMALL)]
-    grams = lambda t: {t[i : i + 8] for i in range(len(t) - 7)}
-    of = {i: grams(t) for i, t in items}
-    assert min(len(t) // (len(t) // 10 + 1) for _, t in items) >= 8  # so a passage within the budget shares one of these
-    for r in rows("documents", SMALL):
-        text = decontaminate.folded(r["text"])
-        held = grams(text)
-        for i, t in items:
-            common = of[i] & held
-            places = sorted(k for k in range(len(text) - 7) if text[k : k + 8] in common)
-            while places:  # regions around what is shared
-                a = b = places.pop(0)
-                while places and places[0] - b < 2 * len(t):
-                    b = places.pop(0)
-                region = text[max(0, text.rfind(" ", 0, max(0, a - 2 * len(t))) + 1) : b + 2 * len(t)]
-                d = whole_word_distance(t, region)
-                if d and d[0] <= len(t) // 10:
-                    want[r["doc_id"], i] = (min(d[0], want.get((r["doc_id"], i), (99,))[0]), len(t) // 10)
-    assert got == want and want
+    got = {(r["doc_id"], r["item_id"]): r for r in QUERIES["op1_decontamination"](spark, SF).collect()}
+    items = {r["item_id"]: decontaminate.folded(r["text"]) for r in rows("benchmark", SF)}
+    docs = {r["doc_id"]: r["text"] for r in rows("documents", SF)}
+    assert len(got) > 10
+    for (d, i), r in got.items():
+        passage = decontaminate.folded(docs[d][r["start"] : r["end"]])
+        assert whole_word_distance(items[i], passage)[0] == r["distance"] <= r["budget"] == len(items[i]) // 10
+    rng = np.random.default_rng(1)
+    short = [d for d, t in docs.items() if t and len(t) < 4000]
+    for d, i in zip(rng.choice(short, 200), rng.choice(list(items), 200)):
+        if (d, i) not in got:
+            assert part_distance(items[i], decontaminate.folded(docs[d])) > len(items[i]) // 10
+    exact = {(d, i) for d, t in docs.items() for i, x in items.items() if f" {x} " in f" {decontaminate.folded(t)} "}
+    assert exact and exact == {k for k, r in got.items() if r["distance"] == 0}
 
 
 @pytest.mark.parametrize("name, m, rest, label", [("op4_toxicity", 3, 1, "toxic"), ("op8_quality_votes", 4, 2, "quality")])
