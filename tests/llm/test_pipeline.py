@@ -111,7 +111,7 @@ def test_odd_documents(spark):
 
 def test_rows_are_told_apart_whatever_their_ids(spark):
     """And columns whose names the operators use themselves."""
-    item = duckdb.sql(f"select text from '{SF}/benchmark.parquet' where text is not null order by length(text) limit 1").fetchone()[0]
+    item = duckdb.sql(f"select text from '{SF}/benchmark.parquet' where text is not null order by length(text) limit 1").fetchall()[0][0]
     base, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     rows = [
         (None, " ".join(f"c{i}" for i in range(40)) + f" so: {item}", "en", "s"), (7, f"and {item}", "en", "s"), (7, base, "en", "s"), (7, other, "en", "s"), (None, base, "en", "s"), (9, other, "en", "s"), (9, "password: hunter2hunter2", "en", None), (None, None, None, None), (None, None, None, None),
