@@ -56,5 +56,5 @@ def cliques(spark):
 
 def test_label_propagation_of_a_graph_by_blocks(spark, small_blocks):
     got = {r["id"]: r["label"] for r in graph.label_propagation(graph.overlap_graph(cliques(spark), "u", "i", 11)).collect()}
-    assert got == {u: 1 if u == 0 else 0 for u in range(300)} | {u: 301 if u == 300 else 300 for u in range(300, 600)} or set(got.values()) <= {0, 1, 300, 301}
-    assert len({got[u] for u in range(2, 300)}) == 1 == len({got[u] for u in range(302, 600)})
+    assert sorted(got) == list(range(600))  # the last shares ten items with either group
+    assert set(got.values()) <= set(range(2)) | {300, 301} and all(got[u] < 2 for u in range(300)) and all(got[u] > 2 for u in range(300, 600))
