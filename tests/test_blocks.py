@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftmine.operators import blocks, graph
 
@@ -58,3 +59,10 @@ def test_label_propagation_of_a_graph_by_blocks(spark, small_blocks):
     got = {r["id"]: r["label"] for r in graph.label_propagation(graph.overlap_graph(cliques(spark), "u", "i", 11)).collect()}
     assert sorted(got) == list(range(600))  # the last shares ten items with either group
     assert set(got.values()) <= set(range(2)) | {300, 301} and all(got[u] < 2 for u in range(300)) and all(got[u] > 2 for u in range(300, 600))
+
+
+def test_modularity_of_a_graph_by_blocks(spark, small_blocks):
+    e = graph.overlap_graph(cliques(spark), "u", "i", 11).localCheckpoint()
+    labels = spark.range(600).select("id", (F.col("id") >= 300).cast("int").alias("label"))
+    k, edges = 300 * 299, 2 * 300 * 299
+    assert graph.modularity(e, labels).first()[0] == pytest.approx(2 * (k - 0.5 * k * k / edges) / (2 * edges))
