@@ -66,3 +66,14 @@ def test_modularity_of_a_graph_by_blocks(spark, small_blocks):
     labels = spark.range(600).select("id", (F.col("id") >= 300).cast("int").alias("label"))
     k, edges = 300 * 299, 2 * 300 * 299
     assert graph.modularity(e, labels).first()[0] == pytest.approx(2 * (k - 0.5 * k * k / edges) / (2 * edges))
+
+
+@pytest.mark.parametrize("weighting", ["parents", "paths"])
+def test_betweenness_by_root_as_by_joins(spark, monkeypatch, weighting):
+    rng = random.Random(8)
+    ends = [(f"v{a}", f"v{b}") for a in range(60) for b in range(a + 1, 60) if a // 30 == b // 30 and rng.random() < 0.1]
+    e = graph.both_directions(spark.createDataFrame(ends, "a string, b string"))
+    got = lambda: {(r["a"], r["b"]): r["value"] for r in graph.betweenness(e, weighting).collect()}
+    found = got()
+    monkeypatch.setattr(graph, "SENT_EDGES", 0)
+    assert found == pytest.approx(got()) and len(found) == len(ends)
