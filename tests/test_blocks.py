@@ -77,3 +77,9 @@ def test_betweenness_by_root_as_by_joins(spark, monkeypatch, weighting):
     found = got()
     monkeypatch.setattr(graph, "SENT_EDGES", 0)
     assert found == pytest.approx(got()) and len(found) == len(ends)
+
+
+def test_communities_of_a_graph_by_blocks(spark, small_blocks):
+    e = graph.overlap_graph(cliques(spark), "u", "i", 10)
+    found = graph.communities(e).collect()
+    assert sorted(x for r in found for x in r["members"]) == list(range(601)) and sorted(len(r["members"]) for r in found) == [300, 301]
