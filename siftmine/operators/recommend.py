@@ -19,9 +19,9 @@ def one_rating(df: DataFrame) -> DataFrame:
     return df.groupBy("u", "i").agg(F.max("stars").cast("double").alias("stars"))
 
 
-def neighbours(sims: DataFrame, k: int) -> DataFrame:
+def neighbours(train: DataFrame, one: str, by: str, k: int, pairs: DataFrame | None = None) -> DataFrame:
     """Each id's k most similar others (ties by id): id, other, s."""
-    both = sims.select(F.explode(F.array(F.struct(F.col("id1").alias("id"), F.col("id2").alias("other"), F.col("similarity").alias("s")), F.struct(F.col("id2").alias("id"), F.col("id1").alias("other"), F.col("similarity").alias("s")))).alias("p")).select("p.*")
+    both = similarity.most_correlated(train, one, by, "stars", k, pairs)
     # rounded for the order, so that sums in another order don't change who is a neighbour
     return both.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("s", 9)), "other"))).where(F.col("r") <= k).drop("r")
 
@@ -38,7 +38,7 @@ def als(train: DataFrame, test: DataFrame, rank: int = 2, iterations: int = 10,
 def user_cf(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Mean of the user and weighted deviations of the k nearest users, of those that rated the item; clamped to 0..5."""
     train = settled(one_rating(train))
-    near = neighbours(similarity.correlations(train, "u", "i", "stars"), k)
+    near = neighbours(train, "u", "i", k)
     means = train.groupBy("u").agg(F.avg("stars").alias("mean"))
     theirs = train.join(means, "u").select(F.col("u").alias("other"), "i", (F.col("stars") - F.col("mean")).alias("d"))
     pairs = test.select("u", "i").distinct()
@@ -52,7 +52,7 @@ def item_cf(train: DataFrame, test: DataFrame, k: int = 2, pairs: DataFrame | No
     """Weighted stars that the user gave to the item's k nearest items; the item's mean without any; clamped to 0..5.
     Only items of the given pairs (id1, id2) are neighbours, if any are given."""
     train = settled(one_rating(train))
-    near = neighbours(similarity.correlations(train, "i", "u", "stars", pairs), k)
+    near = neighbours(train, "i", "u", k, pairs)
     means = train.groupBy("i").agg(F.avg("stars").alias("mean"))
     asked = test.select("u", "i").distinct()
     given = train.select("u", F.col("i").alias("other"), "stars")

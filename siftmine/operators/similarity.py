@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from siftmine.functions.scalar import affine_hash, dense_index, pearson
 from siftmine.sources.scratch import settled
 
+from . import blocks
+
 # Fixed values: (a, b, p) of the hash functions ((a e + b) mod p) mod m.
 MINHASHES = [(29, 43, 709), (1069, 457, 163), (37, 101, 97), (171, 12, 2063), (542, 2780, 10289), (862, 123, 9817), (212, 3, 5393), (142, 7173, 6997), (982, 19, 10861), (333, 709, 191), (183, 523, 5503), (972, 102, 659), (199, 6607, 491), (241, 619, 1033), (983, 991, 587), (233, 41, 991), (1303, 59, 5843), (419, 53, 9001)]
 ROWS = 2
@@ -94,10 +96,27 @@ def similar_pairs(df: DataFrame, set_id: str, element: str, threshold: float = 0
     return jaccard(settled(near.where(agree).select("id1", "id2")), members, threshold)
 
 
+def rating_cells(r: DataFrame) -> tuple[DataFrame, tuple[int, int] | None]:
+    """Number, sum and sum of squares of the ratings (o, b, v) of each row and place, and the size if they go by blocks:
+    there must be few places, and whole stars below 64, whose products add up exactly in any order."""
+    cells = settled(r.where("o is not null and b is not null").groupBy(F.col("o").alias("row"), F.col("b").alias("place")).agg(F.count("*").alias("c"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.max(F.coalesce((F.abs("v") < 64) & (F.col("v") == F.floor("v")), F.lit(False)).cast("int") * -1 + 1).alias("other")))
+    size = blocks.dense_enough(cells)
+    if size is not None and cells.where("other = 1 or c > 1000").isEmpty():
+        return cells.drop("other"), size
+    return cells, None
+
+
 def correlations(ratings: DataFrame, one: str, by: str, value: str, pairs: DataFrame | None = None) -> DataFrame:
-    """Pearson correlation of pairs of `one` over the `by` that both have: id1 < id2, similarity. Only the given pairs, if any."""
+    """Pearson correlation of pairs of `one` over the `by` that both have: id1 < id2, similarity. Only the given pairs, if any.
+
+    Where few `by` are shared by many `one` the sums are products of blocks, else of a join.
+    """
     r = ratings.select(F.col(one).alias("o"), F.col(by).alias("b"), F.col(value).cast("double").alias("v"))
     if pairs is None:
+        cells, size = rating_cells(r)
+        if size is not None:
+            kind = cells.schema["row"].dataType.simpleString()
+            return blocks.pairs(cells, *size, blocks.pearson, f"id1 {kind}, id2 {kind}, similarity double")
         left, right = dealt(r, "b", "o")
         a, c = left.alias("a"), right.alias("c")
         both = a.join(c, (F.col("a.b") == F.col("c.b")) & (F.col("a.salt") == F.col("c.salt")) & (F.col("a.o") < F.col("c.o"))).select(F.col("a.o").alias("id1"), F.col("c.o").alias("id2"), F.col("a.v").alias("x"), F.col("c.v").alias("y"))
@@ -106,3 +125,16 @@ def correlations(ratings: DataFrame, one: str, by: str, value: str, pairs: DataF
         both = first.join(r.select(F.col("o").alias("id2"), "b", F.col("v").alias("y")), ["id2", "b"])
     s = both.groupBy("id1", "id2").agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxy", F.col("x") * F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")))])
     return s.select("id1", "id2", pearson(*[F.col(k) for k in ("n", "sx", "sy", "sxy", "sxx", "syy")]).alias("similarity"))
+
+
+def most_correlated(ratings: DataFrame, one: str, by: str, value: str, k: int, pairs: DataFrame | None = None) -> DataFrame:
+    """A table id, other, s that holds the k most similar others of each `one`, by round(s, 9) and then `other`, and maybe
+    more. By blocks, each pair of blocks yields its best only."""
+    r = ratings.select(F.col(one).alias("o"), F.col(by).alias("b"), F.col(value).cast("double").alias("v"))
+    if pairs is None:
+        cells, size = rating_cells(r)
+        if size is not None:
+            kind = cells.schema["row"].dataType.simpleString()
+            return blocks.pairs(cells, *size, blocks.best_correlated(k), f"id {kind}, other {kind}, s double")
+    sims = correlations(ratings, one, by, value, pairs)
+    return sims.select(F.explode(F.array(F.struct(F.col("id1").alias("id"), F.col("id2").alias("other"), F.col("similarity").alias("s")), F.struct(F.col("id2").alias("id"), F.col("id1").alias("other"), F.col("similarity").alias("s")))).alias("p")).select("p.*")

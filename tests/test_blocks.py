@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from siftmine.operators import blocks, graph
+from siftmine.operators import blocks, graph, recommend, similarity
 
 
 @pytest.fixture
@@ -83,3 +83,18 @@ def test_communities_of_a_graph_by_blocks(spark, small_blocks):
     e = graph.overlap_graph(cliques(spark), "u", "i", 10)
     found = graph.communities(e).collect()
     assert sorted(x for r in found for x in r["members"]) == list(range(601)) and sorted(len(r["members"]) for r in found) == [300, 301]
+
+
+def rated(spark, rng):
+    rows = [(f"u{u:03}", i, float(rng.randint(1, 5))) for u, s in held(rng, range(560), 25, 18).items() for i in s]
+    return spark.createDataFrame(rows + [("u900", k, 3.0) for k in range(5)] + [(f"v{c}", k, float(1 + k % 5)) for c in range(40) for k in range(8)], "u string, i int, stars double")
+
+
+def test_user_cf_by_blocks_as_by_join(spark, small_blocks, monkeypatch):
+    rng = random.Random(2)
+    train = rated(spark, rng).localCheckpoint()
+    near = lambda: {(r["id"], r["other"]): r["s"] for r in recommend.neighbours(train, "u", "i", 3).collect()}
+    assert "Join" not in plan(similarity.most_correlated(train, "u", "i", "stars", 3))
+    found = near()
+    monkeypatch.setattr(blocks, "LEAST_PAIRS", 1 << 60)
+    assert found == near() and len(found) > 1700
