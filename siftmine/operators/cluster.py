@@ -78,6 +78,8 @@ def _kmeans(points: DataFrame, k: int) -> DataFrame:
     n = points.count()
     if n <= k:  # each its own
         return points.withColumn("cluster", F.row_number().over(W.orderBy("id")) - 1) if n else points.withColumn("cluster", F.lit(0))
+    if k == 1:  # KMeans takes two or more
+        return points.withColumn("cluster", F.lit(0))
     model = KMeans(k=k, seed=0, featuresCol="vec", predictionCol="cluster").fit(points.withColumn("vec", array_to_vector("features")))
     return model.transform(points.withColumn("vec", array_to_vector("features"))).drop("vec")
 

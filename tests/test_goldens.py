@@ -171,6 +171,17 @@ def test_bfr(spark):
     assert clusters.count() == 2
 
 
+def test_bfr_with_two_points_set_aside(spark):
+    """They make one compressed cluster."""
+    data = [(i, [50.0 * (i % 5), 50.0 * (i % 5)]) for i in range(510)]
+    data[3], data[7] = (3, [9000.0, 0.0]), (7, [0.0, 9000.0])
+    rounds, clusters = cluster.bfr(spark.createDataFrame(data, "id long, features array<double>"), 2)
+    first = min(map(tuple, rounds.collect()))
+    assert first == (1, 100, 1, 2, 0) and clusters.count() == 510
+    one = cluster._kmeans(spark.createDataFrame(data[:9], "id long, features array<double>"), 1)
+    assert {r["cluster"] for r in one.collect()} == {0}
+
+
 def test_minhash_candidates_hold_no_false_pairs(spark):
     rows = [(s, w) for s, words in (("x", "a b c d e f"), ("y", "a b c d e g"), ("z", "p q r")) for w in words.split()]
     df = spark.createDataFrame(rows, "s string, w string")
