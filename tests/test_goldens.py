@@ -187,3 +187,10 @@ def test_minhash_candidates_hold_no_false_pairs(spark):
     df = spark.createDataFrame(rows, "s string, w string")
     got = {(r["id1"], r["id2"]): r["similarity"] for r in similarity.similar_pairs(df, "s", "w").collect()}
     assert got in ({("x", "y"): pytest.approx(5 / 7)}, {})
+
+
+def test_bfr_clusters_with_two_points_set_aside(spark):
+    data = [(i, [50.0 * (i % 5), 50.0 * (i % 5)]) for i in range(510)]
+    data[3], data[7] = (3, [9000.0, 0.0]), (7, [0.0, 9000.0])
+    found = {r["id"]: r["cluster"] for r in cluster.bfr(spark.createDataFrame(data, "id long, features array<double>"), 2)[1].collect()}
+    assert found[3] == found[7] == -1 and len(found) == 510
