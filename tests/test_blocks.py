@@ -98,3 +98,15 @@ def test_user_cf_by_blocks_as_by_join(spark, small_blocks, monkeypatch):
     found = near()
     monkeypatch.setattr(blocks, "LEAST_PAIRS", 1 << 60)
     assert found == near() and len(found) > 1700
+
+
+def test_correlations_by_blocks_as_by_join(spark, small_blocks, monkeypatch):
+    r = rated(spark, random.Random(6))
+    r = r.union(r.limit(50)).localCheckpoint()  # repeated ratings count as often as they come
+    got = lambda: sorted(map(tuple, similarity.correlations(r, "u", "i", "stars").collect()))
+    assert "Join" not in plan(similarity.correlations(r, "u", "i", "stars"))
+    found = got()
+    odd = r.union(spark.createDataFrame([("u001", 99, None), ("u002", 99, float("nan"))], r.schema))
+    assert similarity.rating_cells(odd.select(F.col("u").alias("o"), F.col("i").alias("b"), F.col("stars").alias("v")))[1] is None
+    monkeypatch.setattr(blocks, "LEAST_PAIRS", 1 << 60)
+    assert found == got()
