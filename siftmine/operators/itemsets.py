@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmine.functions.scalar import dense_index
 from siftmine.sources.scratch import settled
 
+from . import blocks
+
+LONG = 1000  # items of a basket that isn't compared with others as a whole
+
 
 def baskets(df: DataFrame, basket: str, item: str, larger_than: int | None = None) -> DataFrame:
     """Distinct (basket, item); only baskets of strictly more items than `larger_than`. Swap the columns for the other orientation."""
@@ -22,28 +27,84 @@ def sorted_baskets(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 
+def weighed(pairs: DataFrame) -> DataFrame:
+    """Table (basket, item, w): of equal baskets one is there, w is how many they are. Long baskets stay by themselves."""
+    sizes = pairs.groupBy("basket").agg(F.count("*").alias("n"))
+    apart = sizes.where(F.col("n") > LONG).select("basket")
+    equal = sorted_baskets(pairs.join(apart, "basket", "left_anti")).groupBy("items").agg(F.min("basket").alias("basket"), F.count("*").alias("w"))
+    short = equal.select("basket", F.explode("items").alias("item"), "w")
+    return settled(short.unionByName(pairs.join(apart, "basket", "left_semi").select("basket", "item", F.lit(1).cast("long").alias("w"))))
+
+
 def frequent(pairs: DataFrame, support: int, most: int | None = None) -> DataFrame:
     """All itemsets in at least `support` baskets, by size: (items sorted, n); those of up to `most` items if given.
 
+    Where many items share few baskets, pairs are counted by products of blocks and larger sets by the baskets they are
+    in; else by the sets of each basket, equal baskets taken together.
+    """
+    pairs = settled(pairs)
+    cells = pairs.select(F.col("item").alias("row"), F.col("basket").alias("place"))
+    size = blocks.dense_enough(cells) if support > 0 and (most is None or most > 1) else None
+    return by_basket(weighed(pairs), support, most) if size is None else by_item(pairs, support, most, size)
+
+
+def by_item(pairs: DataFrame, support: int, most: int | None, size: tuple[int, int]) -> DataFrame:
+    """Every set carries the baskets it is in, 32 to a number; two that differ in their last items make one of the next size."""
+    index = settled(dense_index(pairs, "basket", "at"))
+    kind = pairs.schema["item"].dataType.simpleString()
+    words = -(-size[1] // 32)
+    bits = pairs.join(F.broadcast(index), "basket").groupBy("item", F.floor(F.col("at") / 32).alias("word")).agg(F.sum(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("x"))
+    held = bits.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("m"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.coalesce(F.element_at("m", k.cast("long")), F.lit(0).cast("long")))
+    number = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+    singles = settled(held.select("item", whole.alias("bits")).withColumn("n", number(F.col("bits"))).where(F.col("n") >= support))
+    out = singles.select(F.array("item").alias("items"), "n")
+    cells = pairs.join(singles.select("item"), "item", "left_semi").select(F.col("item").alias("row"), F.col("basket").alias("place"), F.lit(1).alias("one"))
+    counted = settled(blocks.pairs(cells, *size, blocks.overlaps(support), f"a {kind}, b {kind}, n long"))
+    out = out.unionByName(counted.select(F.array("a", "b").alias("items"), "n"))
+    if most == 2:
+        return out
+    both = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseAND(q))
+    one = lambda name: singles.select(F.col("item").alias(name), F.col("bits").alias(f"{name}_bits"))
+    level = counted.join(one("a"), "a").join(one("b"), "b").select(F.array("a").alias("head"), F.col("b").alias("last"), both("a_bits", "b_bits").alias("bits"))
+    done = 2
+    while most is None or done < most:
+        done += 1
+        more = level.select("head", F.col("last").alias("next"), F.col("bits").alias("other"))
+        grown = level.join(more, "head").where(F.col("next") > F.col("last")).select(F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last"), both("bits", "other").alias("bits"))
+        level = settled(grown.withColumn("n", number(F.col("bits"))).where(F.col("n") >= support))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.select(F.concat("head", F.array("last")).alias("items"), "n"))
+    return out
+
+
+def by_basket(pairs: DataFrame, support: int, most: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """Frequent itemsets of weighed (basket, item, w); only those `among` the given (items), which hold each one's subsets.
+
     Level by level: two frequent sets of a basket that differ in their last items alone make one of the next size, so
     every basket yields each of its candidate sets once and counts are partial sums. Levels from the third on start
     from a table, which cuts their lineage. Stops at the first empty level.
     """
-    singles = pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    kept = settled(pairs.join(singles.select("item"), "item", "left_semi"))
+    wanted = None if among is None else among.select(F.slice("items", F.lit(1), F.size("items") - 1).alias("head"), F.element_at("items", -1).alias("last"))
+    singles = pairs.groupBy("item").agg(F.sum("w").alias("n")).where(F.col("n") >= support)
+    first = singles.select("item") if among is None else among.where(F.size("items") == 1).select(F.col("items")[0].alias("item"))
+    kept = settled(pairs.join(first, "item", "left_semi"))
     out = singles.select(F.array("item").alias("items"), "n")
-    level = kept.select("basket", F.slice(F.array("item"), 1, 0).alias("head"), F.col("item").alias("last"))
+    level = kept.select("basket", "w", F.slice(F.array("item"), 1, 0).alias("head"), F.col("item").alias("last"))
     size = 1
     while most is None or size < most:
         size += 1
         more = level.select("basket", "head", F.col("last").alias("next"))
-        grown = level.join(more, ["basket", "head"]).where(F.col("next") > F.col("last")).select("basket", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last"))
-        counts = settled(grown.groupBy("head", "last").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+        grown = level.join(more, ["basket", "head"]).where(F.col("next") > F.col("last")).select("basket", "w", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last"))
+        if wanted is not None:
+            grown = settled(grown.join(wanted, ["head", "last"], "left_semi"))
+        counts = settled(grown.groupBy("head", "last").agg(F.sum("w").alias("n")).where((F.col("n") >= support) if among is None else F.lit(True)))
         if counts.isEmpty():
             break
-        out = out.unionByName(counts.select(F.concat("head", F.array("last")).alias("items"), "n"))
+        out = out.unionByName(counts.where(F.col("n") >= support).select(F.concat("head", F.array("last")).alias("items"), "n"))
         if size != most:
-            level = settled(grown.join(counts.select("head", "last"), ["head", "last"], "left_semi"))
+            level = grown if wanted is not None else settled(grown.join(counts.select("head", "last"), ["head", "last"], "left_semi"))
     return out
 
 
@@ -65,11 +126,9 @@ def candidates(pairs: DataFrame, support: int, parts: int) -> DataFrame:
 
 def son(pairs: DataFrame, support: int, parts: int = 2) -> tuple[DataFrame, DataFrame]:
     """Two-phase: (candidates, frequent). The second phase counts every candidate over all baskets."""
-    found = candidates(pairs, support, parts)
-    wanted = found.select("items", F.size("items").alias("size"), F.explode("items").alias("item"))
-    held = wanted.join(pairs, "item").groupBy("items", "size", "basket").agg(F.count("*").alias("c")).where("c = size")
-    exact = held.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    return found, exact
+    pairs = settled(pairs)
+    found = settled(candidates(pairs, support, parts))
+    return found, by_basket(weighed(pairs), support, among=found)
 
 
 def fp_growth(pairs: DataFrame, support: int) -> DataFrame:

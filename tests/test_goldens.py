@@ -194,3 +194,16 @@ def test_bfr_clusters_with_two_points_set_aside(spark):
     data[3], data[7] = (3, [9000.0, 0.0]), (7, [0.0, 9000.0])
     found = {r["id"]: r["cluster"] for r in cluster.bfr(spark.createDataFrame(data, "id long, features array<double>"), 2)[1].collect()}
     assert found[3] == found[7] == -1 and len(found) == 510
+
+
+def test_son_counts_equal_baskets_together(spark, monkeypatch):
+    rng = random.Random(12)
+    sets = [sorted(rng.sample(range(7), rng.randint(1, 5))) for _ in range(12)]
+    rows = [(b, i) for b in range(300) for i in sets[b % 12]] + [(300 + k, i) for k in range(2) for i in range(6)]
+    pairs = itemsets.baskets(spark.createDataFrame(rows, "b long, i int"), "b", "i").localCheckpoint()
+    held = [sets[b % 12] for b in range(300)] + [list(range(6))] * 2
+    want = {c: n for k in range(1, 7) for c in itertools.combinations(range(7), k) if (n := sum(set(c) <= set(h) for h in held)) >= 40}
+    assert itemsets.weighed(pairs).select("basket").distinct().count() <= 13
+    assert {tuple(r["items"]): r["n"] for r in itemsets.son(pairs, 40)[1].collect()} == want
+    monkeypatch.setattr(itemsets, "LONG", 3)
+    assert {tuple(r["items"]): r["n"] for r in itemsets.frequent(pairs, 40).collect()} == want
