@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from siftmine.operators import blocks, graph, recommend, similarity
+from siftmine.operators import blocks, graph, itemsets, recommend, similarity
 
 
 @pytest.fixture
@@ -110,3 +110,14 @@ def test_correlations_by_blocks_as_by_join(spark, small_blocks, monkeypatch):
     assert similarity.rating_cells(odd.select(F.col("u").alias("o"), F.col("i").alias("b"), F.col("stars").alias("v")))[1] is None
     monkeypatch.setattr(blocks, "LEAST_PAIRS", 1 << 60)
     assert found == got()
+
+
+def test_itemsets_by_item_as_by_basket(spark, small_blocks, monkeypatch):
+    sets = held(random.Random(9), range(520), 40, 30)
+    rows = [(b, u) for u, s in sets.items() for b in s] + [(b, 900 + k) for b in range(25) for k in range(5)]
+    pairs = itemsets.baskets(spark.createDataFrame(rows, "b int, u long"), "b", "u").localCheckpoint()
+    monkeypatch.setattr(itemsets, "by_basket", None)
+    got = lambda: {tuple(r["items"]): r["n"] for r in itemsets.frequent(pairs, 20).collect()}
+    found = got()
+    monkeypatch.undo()
+    assert found == got() and found[(900, 901, 902, 903, 904)] == 25
