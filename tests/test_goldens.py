@@ -207,3 +207,13 @@ def test_son_counts_equal_baskets_together(spark, monkeypatch):
     assert {tuple(r["items"]): r["n"] for r in itemsets.son(pairs, 40)[1].collect()} == want
     monkeypatch.setattr(itemsets, "LONG", 3)
     assert {tuple(r["items"]): r["n"] for r in itemsets.frequent(pairs, 40).collect()} == want
+
+
+def test_candidate_pairs_need_no_distinct(spark):
+    rng = random.Random(3)
+    sigs = spark.createDataFrame([(s, *(rng.randint(0, 3) for _ in range(18))) for s in range(80)], ["set_id", *(f"h{k}" for k in range(18))])
+    found = similarity.candidate_pairs(sigs)
+    rows = {r[0]: r[1:] for r in sigs.collect()}
+    want = {(a, b) for a in rows for b in rows if a < b and any(rows[a][k : k + 2] == rows[b][k : k + 2] for k in range(0, 18, 2))}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
