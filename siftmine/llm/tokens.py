@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 from .common import kept
 
-GROUP = 8_000_000  # characters that are encoded together
+GROUP = 4_000_000  # characters that are encoded together
 UNSAFE = re.compile(r" (?=\s)")
 BREAKS = re.compile(r" (?=\S)")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -43,7 +43,7 @@ class PieceEncoder(dict):
     kinds encode every text whole. Strings of special tokens are ordinary text. A null text has no ids.
     """
 
-    def __init__(self, path: str, most: int = 1_400_000):
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
