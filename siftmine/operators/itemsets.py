@@ -11,6 +11,8 @@ from siftmine.sources.scratch import settled
 from . import blocks
 
 LONG = 1000  # items of a basket that isn't compared with others as a whole
+CHUNK = 8  # equal items whose subsets are one array
+TASK_SETS = 1_000_000  # sets that one task writes out, about
 
 
 def baskets(df: DataFrame, basket: str, item: str, larger_than: int | None = None) -> DataFrame:
@@ -49,7 +51,10 @@ def frequent(pairs: DataFrame, support: int, most: int | None = None) -> DataFra
 
 
 def by_item(pairs: DataFrame, support: int, most: int | None, size: tuple[int, int]) -> DataFrame:
-    """Every set carries the baskets it is in, 32 to a number; two that differ in their last items make one of the next size."""
+    """Every set carries the baskets it is in, 32 to a number; two that differ in their last items make one of the next size.
+
+    Items of the same baskets are one item until the end: a set of such stands for all sets that take one at least of each.
+    """
     index = settled(dense_index(pairs, "basket", "at"))
     kind = pairs.schema["item"].dataType.simpleString()
     words = -(-size[1] // 32)
@@ -58,10 +63,15 @@ def by_item(pairs: DataFrame, support: int, most: int | None, size: tuple[int, i
     whole = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.coalesce(F.element_at("m", k.cast("long")), F.lit(0).cast("long")))
     number = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
     singles = settled(held.select("item", whole.alias("bits")).withColumn("n", number(F.col("bits"))).where(F.col("n") >= support))
-    out = singles.select(F.array("item").alias("items"), "n")
+    equal = settled(singles.groupBy("bits").agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("n").alias("n")).select(F.col("items")[0].alias("item"), "bits", "n", "items"))
+    found = equal.agg(F.count("*").alias("of"), F.max(F.size("items")).alias("longest")).first()
+    longest, size = found["longest"] or 1, (max(1, found["of"]), size[1])
+    spread = lambda level, k: level if longest == 1 else spread_out(level, equal.select("item", "items"), k, most, longest)
+    singles = equal.select("item", "bits", "n")
+    out = spread(singles.select(F.array("item").alias("items"), "n"), 1)
     cells = pairs.join(singles.select("item"), "item", "left_semi").select(F.col("item").alias("row"), F.col("basket").alias("place"), F.lit(1).alias("one"))
     counted = settled(blocks.pairs(cells, *size, blocks.overlaps(support), f"a {kind}, b {kind}, n long"))
-    out = out.unionByName(counted.select(F.array("a", "b").alias("items"), "n"))
+    out = out.unionByName(spread(counted.select(F.array("a", "b").alias("items"), "n"), 2))
     if most == 2:
         return out
     both = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseAND(q))
@@ -75,10 +85,36 @@ def by_item(pairs: DataFrame, support: int, most: int | None, size: tuple[int, i
         level = settled(grown.withColumn("n", number(F.col("bits"))).where(F.col("n") >= support))
         if level.isEmpty():
             break
-        out = out.unionByName(level.select(F.concat("head", F.array("last")).alias("items"), "n"))
+        out = out.unionByName(spread(level.select(F.concat("head", F.array("last")).alias("items"), "n"), done))
     return out
 
 
+def spread_out(sets: DataFrame, equal: DataFrame, k: int, most: int | None, longest: int) -> DataFrame:
+    """(items, n) of the sets that take one item at least of each of the k classes of `items`, named by their first; `equal`
+    has (item, items) of each class, of up to `longest`. Rows come one by one, so that their number is bounded by the store only."""
+    rows = sets.withColumnRenamed("items", "of")
+    for c in range(k):
+        rows = rows.join(equal.select(F.col("item").alias(f"c{c}"), F.col("items").alias(f"m{c}")), F.col("of")[c] == F.col(f"c{c}")).drop(f"c{c}")
+    number = F.lit(1.0)
+    for c in range(k):
+        number = number * (F.pow(F.lit(2.0), F.size(f"m{c}")) - 1)
+    total = rows.agg(F.sum(number)).first()[0] or 0
+    rows = rows.drop("of").repartition(int(min(10_000, max(1, total // TASK_SETS))))
+    chunks = range(-(-longest // CHUNK))
+    bits = lambda part, least: F.transform(F.sequence(F.lit(least), F.expr(f"shiftleft(1, size({part})) - 1")), lambda mask: F.filter(F.col(part), lambda _, i: F.getbit(mask, i) == 1))
+    parts = {f"p{c}_{j}": F.slice(f"m{c}", j * CHUNK + 1, CHUNK) for c in range(k) for j in chunks}
+    rows = rows.select("n", *[e.alias(name) for name, e in parts.items()])
+    rows = rows.select("n", *[bits(name, int(len(chunks) == 1)).alias(name) for name in parts])
+    for c in range(k):
+        for j in chunks:
+            rows = rows.withColumn(f"p{c}_{j}", F.explode(f"p{c}_{j}"))
+        rows = rows.withColumn(f"m{c}", F.concat(*[f"p{c}_{j}" for j in chunks])).drop(*[f"p{c}_{j}" for j in chunks])
+        if len(chunks) > 1:
+            rows = rows.where(F.size(f"m{c}") > 0)
+    whole = rows.select(F.sort_array(F.concat(*[f"m{c}" for c in range(k)])).alias("items"), "n")
+    return whole if most is None else whole.where(F.size("items") <= most)
+
+
 def by_basket(pairs: DataFrame, support: int, most: int | None = None, among: DataFrame | None = None) -> DataFrame:
     """Frequent itemsets of weighed (basket, item, w); only those `among` the given (items), which hold each one's subsets.
 

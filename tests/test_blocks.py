@@ -121,3 +121,25 @@ def test_itemsets_by_item_as_by_basket(spark, small_blocks, monkeypatch):
     found = got()
     monkeypatch.undo()
     assert found == got() and found[(900, 901, 902, 903, 904)] == 25
+
+
+@pytest.mark.parametrize("most", [None, 1, 2, 4])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_frequent_sets_of_equal_items(spark, small_blocks, monkeypatch, kind, most):
+    """Items of the same baskets are taken together; their sets come out all the same, by chunks of subsets too."""
+    rng = random.Random(6)
+    own = [sorted(rng.sample(range(40), 22)) for _ in range(8)]
+    name = (lambda k: k * 3 - 20) if kind == "long" else (lambda k: f"i{k}")
+    holds = {name(k): own[k % 8 if k < 16 else k % 2] for k in range(22)}  # classes of up to five
+    pairs = spark.createDataFrame([(b, i) for i, bs in holds.items() for b in bs], f"basket int, item {kind}")
+    want = sorted((tuple(r["items"]), r["n"]) for r in itemsets.by_basket(itemsets.weighed(pairs), 12, most).collect())
+    size = (22, 40)
+    seen = []
+    spread = itemsets.spread_out
+    monkeypatch.setattr(itemsets, "spread_out", lambda *a: seen.append(a[2]) or spread(*a))
+    for chunk in (8, 2):
+        monkeypatch.setattr(itemsets, "CHUNK", chunk)
+        got = [(tuple(r["items"]), r["n"]) for r in itemsets.by_item(pairs, 12, most, size).collect()]
+        assert sorted(got) == want and seen
+    if most is None:
+        assert max(len(x) for x, _ in want) > 6
