@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftmine.functions.scalar import affine_hash, dense_index, pearson
 from siftmine.sources.scratch import settled
 
-from . import blocks
+from . import blocks, near_sets
 
 # Fixed values: (a, b, p) of the hash functions ((a e + b) mod p) mod m.
 MINHASHES = [(29, 43, 709), (1069, 457, 163), (37, 101, 97), (171, 12, 2063), (542, 2780, 10289), (862, 123, 9817), (212, 3, 5393), (142, 7173, 6997), (982, 19, 10861), (333, 709, 191), (183, 523, 5503), (972, 102, 659), (199, 6607, 491), (241, 619, 1033), (983, 991, 587), (233, 41, 991), (1303, 59, 5843), (419, 53, 9001)]
@@ -85,17 +85,10 @@ def dealt(rows: DataFrame, key: str, who: str) -> tuple[DataFrame, DataFrame]:
 def similar_pairs(df: DataFrame, set_id: str, element: str, threshold: float = 0.5) -> DataFrame:
     """Pairs that agree in a whole band and whose similarity is at least the threshold: id1, id2, similarity.
 
-    Bands of hashes with small moduli yield far more pairs than are similar, so pairs come from near_by_prefix(), which
-    loses none within the threshold, and are kept if they agree in a band; sets are read for those alone.
+    Bands of hashes with small moduli yield far more pairs than are similar, so pairs come from their rarest elements, which
+    lose none within the threshold, and are kept if they agree in a band; see near_sets.
     """
-    members, m = elements(df, set_id, element)
-    members = settled(members)
-    sigs = settled(signatures(members, m))
-    names = [f"h{k}" for k in range(len(MINHASHES))]
-    side = lambda k: sigs.select(F.col("set_id").alias(f"id{k}"), F.array(*names).alias(f"s{k}"))
-    near = near_by_prefix(members, threshold).join(side(1), "id1").join(side(2), "id2")
-    agree = reduce(lambda x, y: x | y, [F.slice("s1", k + 1, ROWS) == F.slice("s2", k + 1, ROWS) for k in range(0, len(names), ROWS)])
-    return jaccard(settled(near.where(agree).select("id1", "id2")), members, threshold)
+    return near_sets.similar(*near_sets.prepared(df, set_id, element, MINHASHES, threshold), threshold, ROWS)
 
 
 def rating_cells(r: DataFrame) -> tuple[DataFrame, tuple[int, int] | None]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,20 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_root(spark)}/siftmine-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, and have the driver collect garbage, upon which Spark deletes the
+    shuffle files of plans that nothing refers to any more."""
+    for t in tables:
+        _written.remove(t.scratch_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
