@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmine.functions.scalar import affine_hash, dense_index, pearson
@@ -46,34 +43,6 @@ def candidate_pairs(sigs: DataFrame, rows: int = ROWS, n: int = len(MINHASHES))
     return a.join(c, same).where(first).select(F.col("a.set_id").alias("id1"), F.col("b.set_id").alias("id2"))
 
 
-def jaccard(pairs: DataFrame, members: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Exact similarity of each pair, at least the threshold: id1, id2, similarity.
-
-    Pairs whose sizes alone exclude the threshold go first; each set then travels once for a pair, as an array.
-    """
-    sets = members.groupBy("set_id").agg(F.collect_set(F.col("e").cast("int")).alias("s"))
-    sizes = members.groupBy("set_id").agg(F.count("*").alias("n"))
-    side = lambda k, what: what.select(F.col("set_id").alias(f"id{k}"), F.col(what.columns[1]).alias(f"{what.columns[1]}{k}"))
-    near = pairs.join(side(1, sizes), "id1").join(side(2, sizes), "id2").where(F.least("n1", "n2") >= F.lit(threshold) * F.greatest("n1", "n2"))
-    both = near.join(side(1, sets), "id1").join(side(2, sets), "id2").withColumn("i", F.size(F.array_intersect("s1", "s2")))
-    return both.select("id1", "id2", (F.col("i") / (F.col("n1") + F.col("n2") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def near_by_prefix(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that may be within the threshold: of each set, ordered by how rare its elements are, the first
-    n - ceil(t n) + 1 count, and similar sets share one of those, with enough of both sets left behind it."""
-    rarity = members.groupBy("e").agg(F.count("*").alias("df"))
-    in_set = W.partitionBy("set_id")
-    ranked = members.join(rarity, "e").withColumn("r", F.row_number().over(in_set.orderBy("df", "e"))).withColumn("n", F.count("*").over(in_set))
-    first = settled(ranked.where((F.col("df") > 1) & (F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)).select("set_id", "e", "r", "n"))
-    left, right = dealt(first, "e", "set_id")
-    a, b = left.alias("a"), right.alias("b")
-    same = (F.col("a.e") == F.col("b.e")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.set_id") < F.col("b.set_id"))
-    sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    rest = 1 + F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    return a.join(b, same & sizes & rest).select(F.col("a.set_id").alias("id1"), F.col("b.set_id").alias("id2")).distinct()
-
-
 def dealt(rows: DataFrame, key: str, who: str) -> tuple[DataFrame, DataFrame]:
     """The two sides of a join of rows with one another on (key, salt): rows of a hot key are dealt out on the left and
     copied on the right, so that no task has to pair them all."""
