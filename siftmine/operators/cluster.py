@@ -97,7 +97,8 @@ def bfr(points: DataFrame, k: int, share: float = 0.2, mode: str = "batched", co
     point goes to the nearest discard summary within 2 sqrt(dims) deviations, else the nearest compressed one, else to
     the retained set. mode='batched' compares a whole round with the summaries at its start, in parallel;
     'sequential' updates after each point, in order, on the driver, which holds the numbers of a round's points with their
-    clusters; otherwise the driver holds the summaries only.
+    clusters; otherwise the driver holds the summaries only. A vector with null or non-finite components, or of another
+    length than most, is near to nothing: it is in the retained set from its round on, in cluster -1.
     """
     if mode not in ("batched", "sequential"):
         raise ValueError(mode)
@@ -110,8 +111,14 @@ def bfr(points: DataFrame, k: int, share: float = 0.2, mode: str = "batched", co
     if not total:
         return spark.createDataFrame([], "round int, n_ds long, n_cs_clusters int, n_cs long, n_rs long"), spark.createDataFrame([], "id long, cluster int")
     size = max(1, int(total * share))
-    dims = len(points.first()["features"])
+    lengths = points.groupBy(F.size("features").alias("dims")).agg(F.count("*").alias("n"))
+    dims = lengths.orderBy(F.desc("n"), "dims").first()["dims"]
     limit = 2 * float(np.sqrt(dims))
+    finite = F.forall("features", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    usable = (F.size("features") == dims) & finite
+    odd = points.where(~usable).select("id", "place")
+    points = points.where(usable)
+    odd_in = {r["round"]: r["n"] for r in odd.groupBy(F.floor(F.col("place") / size).alias("round")).agg(F.count("*").alias("n")).collect()}  # a row for each round
     first = points.where(F.col("place") < size).select("id", "features")
     coarse = settled(_kmeans(first, 10 * k))
     counts = coarse.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -130,9 +137,11 @@ def bfr(points: DataFrame, k: int, share: float = 0.2, mode: str = "batched", co
         found = _collected(apart)
         cs = [s for _, s in sorted(found.items()) if s.n > 1]
         retained = sum(1 for s in found.values() if s.n <= 1)
+    retained += odd_in.get(0, 0)
     told = lambda r: (r, int(sum(s.n for s in ds)), len(cs), int(sum(s.n for s in cs)), int(retained))
     rounds = [told(1)]
-    named = [inner.select("id", F.create_map(*[F.lit(x) for c, i in numbers.items() for x in (c, i)])[F.col("cluster")].cast("int").alias("cluster")), outer.select("id", F.lit(-1).alias("cluster"))]
+    number = F.create_map(*[F.lit(x) for c, i in numbers.items() for x in (c, i)])[F.col("cluster")] if numbers else F.lit(-1)
+    named = [inner.select("id", number.cast("int").alias("cluster")), *[x.select("id", F.lit(-1).alias("cluster")) for x in (outer, odd)]]
     for r in range(1, -(-total // size)):
         batch = points.where((F.col("place") >= r * size) & (F.col("place") < (r + 1) * size)).select("id", "features")
         if mode == "sequential":
@@ -161,6 +170,7 @@ def bfr(points: DataFrame, k: int, share: float = 0.2, mode: str = "batched", co
                     members[c].add(s.n, s.s, s.ss, compat)
             retained += placed.where("g < 0").count()
             named.append(placed.select("id", F.when(F.col("g") == 0, F.col("cluster")).otherwise(-1).alias("cluster")))
+        retained += odd_in.get(r, 0)
         rounds.append(told(r + 1))
     clusters = named[0]
     for n in named[1:]:

@@ -217,3 +217,17 @@ def test_candidate_pairs_need_no_distinct(spark):
     want = {(a, b) for a in rows for b in rows if a < b and any(rows[a][k : k + 2] == rows[b][k : k + 2] for k in range(0, 18, 2))}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bfr_with_vectors_that_cannot_be_compared(spark):
+    """In the first share and later ones; they are retained, and the others fare as without them."""
+    data = [(i, [50.0 * (i % 5), 50.0 * (i % 5)]) for i in range(510)]
+    odd = {20: [float("nan"), 1.0], 21: [None, 1.0], 22: [float("inf"), 1.0], 23: [1.0], 200: [None, 0.0], 201: [1.0, 2.0, 3.0], 300: [float("-inf"), 0.0]}
+    data = [(i, odd.get(i, x)) for i, x in data]
+    rounds, clusters = cluster.bfr(spark.createDataFrame(data, "id long, features array<double>"), 2)
+    found = {r["id"]: r["cluster"] for r in clusters.collect()}
+    assert len(found) == clusters.count() == 510 and {i for i, c in found.items() if c == -1} == set(odd)
+    assert [r["n_rs"] for r in rounds.orderBy("round").collect()] == [4, 6, 7, 7, 7]
+    assert [r["n_ds"] + r["n_cs"] + r["n_rs"] for r in rounds.orderBy("round").collect()] == [102, 204, 306, 408, 510]
+    none = spark.createDataFrame([(i, [float("nan")]) for i in range(12)], "id long, features array<double>")
+    assert {tuple(r) for r in cluster.bfr(none, 2)[1].collect()} == {(i, -1) for i in range(12)}
