@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmine.llm import decontaminate, jaccard, packing, secrets, toxicity
-from siftmine.llm.common import crc_mod, named, scratch, table, unlike
+from siftmine.llm.common import crc_mod, give_back, named, scratch, table, unlike
 
 
 def _only(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has the score of no words. Repeated rows share their fate, and rows without an id are judged
     like any other. An empty table stays empty.
     """
+    give_back(spark)
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rule=crc_mod("doc_id", 3) != 1)
     scored = toxicity.score(docs, model, keep=tuple(docs.columns))
     return _only(scored.where(F.col(unlike("score", docs.columns)) < toxicity.THRESHOLD), docs.columns)
@@ -35,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without a word, null ones too, are in no group and all stay. An empty table stays empty.
     """
+    give_back(spark)
     rows = jaccard.jaccard_classes(docs).where("class is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "name", "place"))
     best = rows.groupBy("class").agg(first.alias("f")).select(F.col("f.doc_id").alias("i"), F.col("f.place").alias("p"))
@@ -71,6 +73,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences. A null text is an end id alone, null sources are a source, repeated rows are
     packed as often as they come, and an empty table gives no piece."""
+    give_back(spark)
     return packing.pack(docs, with_ids=False).drop("source")
 
 

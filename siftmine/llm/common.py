@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,7 @@ def ship(spark: SparkSession) -> None:
 def trim() -> None:
     """Give memory that this process has freed back to the system, where its C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
@@ -57,6 +59,12 @@ def kept(name: object, make):
     return _kept[name]
 
 
+def forget() -> None:
+    """Let go of what other stages have kept in this Python worker, and of what they have freed; for steps that keep nothing."""
+    _kept.clear()
+    trim()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -84,6 +92,14 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the driver and the executors collect garbage, upon which their heaps shrink: a heap that a stage has let grow
+    otherwise stays as large beside the Python workers of the next. Executors are reached by a task for each core."""
+    free(spark)
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read again."""
     for t in tables:

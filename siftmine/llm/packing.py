@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, ship
+from .common import forget, scratch, ship
 from .tokens import encoder_of, vocabulary
 
 MOST_BASES = 500_000  # rows of (source, part) that are sent to every task
@@ -192,6 +192,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int, group:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], shared, length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    forget()
     plan: Mixture = shared.value
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"] + ["ids"] * with_ids
     for batch in batches:

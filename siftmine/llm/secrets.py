@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import forget, with_columns
 
 # The plain kinds and their patterns, then the confirmed kinds, in the order of ties.
 KINDS = ["assign", "access", "hex", "pem", "der", "ssh", "jwt"]
@@ -249,6 +249,7 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64
 
 
 def _scan(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         found = [spans(t) for t in texts]

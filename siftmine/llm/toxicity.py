@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, with_columns
+from .common import crc_mod, forget, ship, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 18
@@ -242,6 +242,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rule: Column,
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     buckets = WordBuckets()
     for b in batches:
         ids = [buckets.of(t).tobytes() for t in b.column(2).to_pylist()]
@@ -260,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rule: Column |
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, group: int = 200) -> Iterator[pa.RecordBatch]:
+    forget()
     m = model.value
     known = Responses(m)
     for b in batches:

@@ -4,12 +4,13 @@ import os
 import shutil
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from siftmine.llm import decontaminate, secrets, tokens, toxicity
+from siftmine.llm import common, decontaminate, packing, secrets, tokens, toxicity
 from siftmine.llm.common import crc_mod, scratch, table
 
 SF = "/root/testdata/sf0.01"
@@ -142,3 +143,16 @@ def test_the_rest_runs_without_the_folders(tmp_path):
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_plans.py"], check=True, cwd=tmp_path / "r")
+
+
+def test_stages_let_go_of_what_others_kept(spark):
+    """Steps that keep nothing empty the Python worker's memory, and give_back() has executors collect garbage too."""
+    steps = [lambda: toxicity._word_rows(iter([])), lambda: toxicity._score(iter([]), SimpleNamespace(value=SimpleNamespace(wide=2))), lambda: secrets._scan(iter([]), False), lambda: packing._pieces(iter([]), SimpleNamespace(value=None), 8, False)]
+    for step in steps:
+        assert common.kept("tokens of another stage", lambda: [1]) == [1]
+        assert list(step()) == [] and not common._kept
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    before = count()
+    common.give_back(spark)
+    assert count() >= before + 2  # the driver's, and those of tasks
