@@ -82,7 +82,8 @@ def at_node(y: int, n: int, window: int, left: int, total: int, is_left: bool) -
 class Plan:
     """Where each queue's tokens go: phases, and within a phase a tree of queues, the larger nearer to its root."""
 
-    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None, window: int):
+    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None, window: int, least: int = 1):
+        """least: tokens of a round of queues that are a small part of a window."""
         self.phases: list[tuple[int, dict[str, tuple[int, int, list]]]] = []  # first token, queue -> (tokens before in the queue, tokens, nodes up to the root)
         left = {q: n for q, n in sorted(totals.items()) if n}
         used = dict.fromkeys(left, 0)
@@ -95,7 +96,7 @@ class Plan:
                 rate = min(n / weights[q] for q, n in left.items() if weights[q] > 0)
                 take = {q: n if n <= rate * weights[q] * (1 + 1e-12) else min(n, int(rate * weights[q])) for q, n in left.items() if weights[q] > 0}
             take = {q: n for q, n in take.items() if n}
-            self.phases.append((at, {q: (used[q], take[q], nodes) for q, nodes in self._tree(take, window).items()}))
+            self.phases.append((at, {q: (used[q], take[q], nodes) for q, nodes in self._tree(take, window, least).items()}))
             for q, n in take.items():
                 used[q] += n
                 left[q] -= n
@@ -107,7 +108,7 @@ class Plan:
                 self.starts.setdefault(q, []).append((before, k))
 
     @staticmethod
-    def _tree(take: dict[str, int], window: int) -> dict[str, list[tuple[int, int, int, bool]]]:
+    def _tree(take: dict[str, int], window: int, least: int) -> dict[str, list[tuple[int, int, int, bool]]]:
         """(window, left, total, on the left) of the nodes above each queue, from it up; the two least are joined first."""
         total = sum(take.values())
         heap = [(n, k, [q]) for k, (q, n) in enumerate(take.items())]
@@ -116,7 +117,7 @@ class Plan:
         k = len(heap)
         while len(heap) > 1:
             (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
-            own = max(1, window * (a + b) // total)
+            own = max(min(window, least), window * (a + b) // total)
             for side, is_left in ((left, True), (right, False)):
                 for q in side:
                     nodes[q].append((own, a, a + b, is_left))
@@ -153,7 +154,7 @@ class Mixture:
         """own: tokens of each source with a target; classes: tokens and sources of each class of the others."""
         rest = sum(n for n, _ in classes.values())
         self.outer = Plan(own | {REST: rest}, targets, window) if targets is not None else None
-        self.inner = Plan({k: n for k, (n, _) in classes.items()}, None, window)
+        self.inner = Plan({k: n for k, (n, _) in classes.items()}, None, window, QUANTUM)
         self.windows = {k: max(window * n // max(1, rest), of * QUANTUM, 1) for k, (n, of) in classes.items()}
         self.totals = {k: n for k, (n, _) in classes.items()}
 
