@@ -57,7 +57,7 @@ def similar_pairs(df: DataFrame, set_id: str, element: str, threshold: float = 0
     Bands of hashes with small moduli yield far more pairs than are similar, so pairs come from their rarest elements, which
     lose none within the threshold, and are kept if they agree in a band; see near_sets.
     """
-    return near_sets.similar(*near_sets.prepared(df, set_id, element, MINHASHES, threshold), threshold, ROWS)
+    return near_sets.similar(*near_sets.prepared(df, set_id, element, MINHASHES), threshold, ROWS)
 
 
 def rating_cells(r: DataFrame) -> tuple[DataFrame, tuple[int, int] | None]:

@@ -34,3 +34,13 @@ def test_similar_pairs_of_many_blocks(spark, monkeypatch, kind, threshold):
                 want[u, v] = s
     got = similarity.similar_pairs(df, "u", "w", threshold).collect()
     assert {(r["id1"], r["id2"]): r["similarity"] for r in got} == want and len(got) == len(want) > 30
+
+
+def test_parts_of_sets_in_several_chunks_and_blocks_without_sets(spark, monkeypatch):
+    """Rows of a set lie in chunks of their own, and of the blocks of sets of one size some are empty."""
+    monkeypatch.setattr(near_sets, "CHUNK", 7, raising=False)
+    monkeypatch.setattr(near_sets, "BLOCK", (10, 10))
+    sets = {u: {f"w{u // 2}_{k}" for k in range(10)} | {"all"} for u in range(12)}
+    rows = [(u, w) for k in range(3) for u, s in sets.items() for j, w in enumerate(sorted(s)) if j % 3 == k]
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "u long, w string").repartition(2), "u", "w").collect()
+    assert sorted(map(tuple, got)) == [(u, u + 1, 1.0) for u in range(0, 12, 2)]
