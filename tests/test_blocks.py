@@ -112,6 +112,29 @@ def test_correlations_by_blocks_as_by_join(spark, small_blocks, monkeypatch):
     assert found == got()
 
 
+def test_equal_users_are_correlated_once(spark, small_blocks, monkeypatch):
+    """The kernel that goes through single users isn't needed."""
+    monkeypatch.setattr(blocks, "pearson", None)
+    r = spark.createDataFrame([(u + 4 * k, i, float(1 + (u * i) % 5)) for k in range(5) for u in range(4) for i in range(9)], "u long, i long, stars double")
+    got = {(a, b): s for a, b, s in similarity.correlations(r, "u", "i", "stars").collect()}
+    assert sorted(got) == list(itertools.combinations(range(20), 2)) and all(got[a, b] == got[min(a % 4, b % 4), max(a % 4, b % 4) + 4 * (a % 4 == b % 4)] for a, b in got)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_correlations_of_equal_rows(spark, small_blocks, monkeypatch, kind):
+    """Those of equal users are counted once, and every pair of users comes out."""
+    monkeypatch.setattr(blocks, "MEMBERS", 25, raising=False)
+    rng = random.Random(5)
+    base = [(u, i, float(rng.randint(1, 5))) for u in range(12) for i in range(15) if rng.random() < 0.4]
+    name = (lambda u: u) if kind == "long" else (lambda u: f"é{u}")
+    rows = [(name(u + 12 * k), i, v) for k in range(1, 6) for u, i, v in base]
+    r = spark.createDataFrame(rows, f"u {kind}, i long, stars double")
+    got = lambda: sorted(map(tuple, similarity.correlations(r, "u", "i", "stars", digits=6).collect()))
+    by_class = got()
+    monkeypatch.setattr(blocks, "LEAST_PAIRS", 1 << 60)
+    assert by_class == got() and len(by_class) > 1000
+
+
 def test_itemsets_by_item_as_by_basket(spark, small_blocks, monkeypatch):
     sets = held(random.Random(9), range(520), 40, 30)
     rows = [(b, u) for u, s in sets.items() for b in s] + [(b, 900 + k) for b in range(25) for k in range(5)]
